@@ -69,6 +69,15 @@ class Bounds:
     def overlap(self, a, b):
         return -((-self.p * (a + b)) // (self.p + self.q))
 
+    def reach(self, a, b, at_a, at_b):
+        """Whether rows of sizes a and b whose first common column has these places can overlap enough.
+
+        Of a pair that can, the first common column passes, and each column before the last that passes does as well: counts of
+        passing columns miss nothing that lies before the last of them.
+        """
+        need = self.overlap(a, b)
+        return (at_a <= a + 1 - need) & (at_b <= b + 1 - need)
+
 
 def _scan(shingle: int):
     """Per document its key, set size and signature; at the end of a task the counters of its columns."""
@@ -235,7 +244,7 @@ def _star(bounds: Bounds):
     def take(pairs, i, j, cid, n, place):
         swap = (n[j] < n[i]) | ((n[j] == n[i]) & (cid[j] < cid[i]))
         s, l = np.where(swap, j, i), np.where(swap, i, j)
-        ok = (cid[s] != cid[l]) & (n[s] >= bounds.least_size(n[l])) & (place[s] <= bounds.smaller(n[s]))
+        ok = (cid[s] != cid[l]) & (n[s] >= bounds.least_size(n[l])) & bounds.reach(n[s], n[l], place[s], place[l])
         s, l = s[ok], l[ok]
         pairs.add(cid[s], cid[l], n[s], n[l], place[s], place[l])
 
@@ -255,13 +264,15 @@ def _rest(bounds: Bounds):
                 c, r, n, place = cid[a:b], root[a:b], packed[a:b] >> 31, packed[a:b] & (2**31 - 1)
                 order = np.lexsort((c, n))
                 c, r, n, place = c[order], r[order], n[order], place[order]
-                short = place <= bounds.smaller(n)
+                # As the smaller row of a pair, and as the larger one of a pair with the smallest row it can have.
+                short, lead = place <= bounds.smaller(n), place <= bounds.larger(n)
                 # Rows of the column's largest component need no turn of their own: each of their pairs has another row.
                 names, inverse, sizes = np.unique(r, return_inverse=True, return_counts=True)
                 for i in np.flatnonzero(inverse != np.argmax(sizes)):
                     low, high = np.searchsorted(n, bounds.least_size(n[i])), np.searchsorted(n, (n[i] * bounds.q) // bounds.p, "right")
                     j = np.arange(low, high)
-                    j = j[(r[j] != r[i]) & np.where(j > i, short[i], short[j]) & ((inverse[j] == np.argmax(sizes)) | (j > i))]
+                    j = j[(r[j] != r[i]) & np.where(j > i, short[i] & lead[j], short[j] & lead[i]) & ((inverse[j] == np.argmax(sizes)) | (j > i))]
+                    j = j[bounds.reach(n[i], n[j], place[i], place[j])]
                     s, l = np.minimum(i, j), np.maximum(i, j)
                     if len(j):
                         pairs.add(c[s], c[l], n[s], n[l], place[s], place[l])
