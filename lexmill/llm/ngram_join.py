@@ -47,6 +47,15 @@ def _signature(shingles: np.ndarray) -> int:
     return int(total.view(np.int64)[0])
 
 
+#: Bits of a row's parity map. Two maps differ in at most as many bits as the sets have unshared columns.
+PARITY_BITS = 1024
+
+
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles >> np.uint64(40) & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 class Bounds:
     """Integer forms of the size bounds for Jaccard >= similarity."""
 
@@ -81,15 +90,16 @@ class Bounds:
 
 def _scan(shingle: int):
     """Per document its key, set size and signature; at the end of a task the counters of its columns."""
-    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("parity", pa.list_(pa.int64())), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(WIDTH, np.int64)
         for batch in batches:
-            sizes, signatures, parts = [], [], []
+            sizes, signatures, parity, parts = [], [], [], []
             for _, found in shingle_sets(batch.column(1), shingle):
                 sizes.append(len(found))
                 signatures.append(_signature(found))
+                parity.append(_parity(found))
                 parts.append((found & np.uint64(WIDTH - 1)).astype(np.int64))
                 if len(parts) > 500:
                     counts += np.bincount(np.concatenate(parts), minlength=WIDTH)
@@ -97,10 +107,11 @@ def _scan(shingle: int):
             if parts:
                 counts += np.bincount(np.concatenate(parts), minlength=WIDTH)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(signatures, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (PARITY_BITS // 64)), pa.array(np.concatenate(parity) if parity else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(signatures, pa.int64()), maps, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if counts.any():
             rows = [np.minimum(c, 2**31 - 1).astype("<i4").tobytes() for c in np.split(counts, _SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(_SLICES, np.int8)), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.array(np.arange(_SLICES, dtype=np.int32)), pa.array(rows)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(_SLICES, np.int8)), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.list_(pa.int64())), pa.array(np.arange(_SLICES, dtype=np.int32)), pa.array(rows)], schema=schema)
 
     return run
 
@@ -291,6 +302,14 @@ def _added(pairs: DataFrame, bounds: Bounds) -> DataFrame:
     return total.where(F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need).select("a", "b", "na", "nb")
 
 
+def _plausible(pairs: DataFrame, maps: DataFrame, bounds: Bounds) -> DataFrame:
+    """Pairs whose parity maps differ in no more bits than the bound leaves unshared columns; 128 bytes a row, not its set."""
+    x, y = (maps.select(F.col("sig").alias(side), F.col("parity").alias(f"m{side}")) for side in "ab")
+    differ = F.aggregate(F.zip_with("ma", "mb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    need = F.ceil(F.lit(bounds.p) * (F.col("na") + F.col("nb")) / F.lit(bounds.p + bounds.q) - 1e-9)
+    return pairs.join(x, "a").join(y, "b").where(differ <= F.col("na") + F.col("nb") - 2 * need).select("a", "b", "na", "nb")
+
+
 def _fetch(shingle: int, wanted):
     schema = pa.schema([("cid", pa.int64()), ("shingles", pa.binary())])
 
@@ -366,17 +385,19 @@ def similar_documents(df: DataFrame, text: str = "text", id: str = "doc_id", shi
     spark = df.sparkSession
     texts = df.select(F.col(text).cast("string").alias("t"))
     key = F.col(id).cast("long")
-    scanned = materialize(df.select(key.alias("key"), F.col(text).cast("string").alias("t")).mapInArrow(_scan(shingle), "kind byte, key long, n long, sig long, slice int, counts binary"))
+    scanned = materialize(df.select(key.alias("key"), F.col(text).cast("string").alias("t")).mapInArrow(_scan(shingle), "kind byte, key long, n long, sig long, parity array<long>, slice int, counts binary"))
     counters = spark.sparkContext.broadcast(_counters(scanned))
     rows = scanned.where("kind = 0").select("key", "n", "sig")
 
     shared = materialize(texts.mapInArrow(_leading(shingle, bounds, counters), "h long, cid long, np long").repartition("h").sortWithinPartitions("h", "np", "cid").mapInArrow(_shared, "h long, cid long, np long"))
     by_column = shared.repartition("h").sortWithinPartitions("h", "np", "cid")
-    first = materialize(_added(by_column.mapInArrow(_star(bounds), PAIRS), bounds))
+    maps = materialize(scanned.where("kind = 0 and n > 0").select("sig", "parity").dropDuplicates(["sig"]))
+    first = materialize(_plausible(_added(by_column.mapInArrow(_star(bounds), PAIRS), bounds), maps, bounds))
     links = _links(texts, first, shingle, bounds)
     roots = components(links)
     rest = shared.join(roots, F.col("cid") == F.col("node"), "left").select("h", "cid", "np", F.coalesce("root", "cid").alias("root")).repartition("h").sortWithinPartitions("h")
-    second = materialize(_added(rest.mapInArrow(_rest(bounds), PAIRS), bounds).join(first, ["a", "b"], "left_anti"))
+    second = _added(rest.mapInArrow(_rest(bounds), PAIRS), bounds).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = materialize(_plausible(second, maps, bounds))
     if not second.isEmpty():
         links = links.unionByName(_links(texts, second, shingle, bounds))
         roots = components(links)
