@@ -39,9 +39,15 @@ def r6(c):
     return F.bround(c, 6)
 
 
-TEXT = F.col("text")
+def doc_text():
+    return F.col("text")
+
+
 WORD = r"[\p{L}\p{N}]+"
-ORDER = [F.col("text_sha256"), F.col("doc_id")]
+
+def by_digest():
+    return [F.col("text_sha256"), F.col("doc_id")]
+
 
 
 def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +59,12 @@ def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split_regex(nfc_normalize(regexp_replace(text, '\r\n?', chr(10), 'g')), '[\n\x{2028}\x{2029}]'), lambda l: trim(regexp_replace(l, '[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS clean FROM documents""")
 def normalize_whitespace(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.squeeze_lines(T.nfc(T.line_feeds(TEXT))).alias("clean"))
+    return docs(spark, sf_dir).select("doc_id", T.squeeze_lines(T.nfc(T.line_feeds(doc_text()))).alias("clean"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]'))::BIGINT AS removed, regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g') AS clean FROM documents")
 def control_char_strip(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.count(TEXT, T.CONTROL).alias("removed"), F.regexp_replace("text", T.CONTROL, "").alias("clean"))
+    return docs(spark, sf_dir).select("doc_id", T.count(doc_text(), T.CONTROL).alias("removed"), F.regexp_replace("text", T.CONTROL, "").alias("clean"))
 
 
 @query()
@@ -75,7 +81,7 @@ def wiki_marker_counts(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 2000 THEN text ELSE trim(CASE WHEN strpos(reverse(substr(text, 1, 2000)), chr(10)) > 0 AND 2000 - strpos(reverse(substr(text, 1, 2000)), chr(10)) >= 1000 THEN substr(text, 1, 2000 - strpos(reverse(substr(text, 1, 2000)), chr(10))::BIGINT) ELSE substr(text, 1, 2000) END, chr(10) || chr(32)) END AS cut FROM documents WHERE strpos(text, chr(10) || chr(10)) = 0")
 def truncate_documents(spark, sf_dir):
-    return docs(spark, sf_dir).where(~F.contains("text", F.lit("\n\n"))).select("doc_id", T.cut(TEXT, 2000).alias("cut"))
+    return docs(spark, sf_dir).where(~F.contains("text", F.lit("\n\n"))).select("doc_id", T.cut(doc_text(), 2000).alias("cut"))
 
 
 # --- measures and cascade ------------------------------------------------------------------------------------------------
@@ -83,18 +89,18 @@ def truncate_documents(spark, sf_dir):
 
 @query(rf"SELECT doc_id, length(text)::BIGINT AS char_length, strlen(text)::BIGINT AS byte_length, len(regexp_extract_all(text, '{WORD}'))::BIGINT AS word_count FROM documents")
 def text_length_metrics(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", *[v.alias(k) for k, v in T.lengths(TEXT).items()])
+    return docs(spark, sf_dir).select("doc_id", *[v.alias(k) for k, v in T.lengths(doc_text()).items()])
 
 
 @query(r"SELECT doc_id, round_even(len(regexp_extract_all(text, '(?i)https?://\S+')) / greatest(1.0, length(text) / 1000), 6)::DOUBLE AS url_density, len(regexp_extract_all(text, '<[^>]{1,500}>'))::BIGINT AS html_tags FROM documents")
 def url_html_density(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", r6(T.url_density(TEXT)).alias("url_density"), T.html_tags(TEXT).alias("html_tags"))
+    return docs(spark, sf_dir).select("doc_id", r6(T.url_density(doc_text())).alias("url_density"), T.html_tags(doc_text()).alias("html_tags"))
 
 
 @query(r"""WITH c AS (SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) AS ns, len(regexp_extract_all(text, '\p{L}')) AS l, len(regexp_extract_all(text, '[\x{400}-\x{481}\x{48a}-\x{52f}]')) AS cy, len(regexp_extract_all(text, '[A-Za-z]')) AS la, len(regexp_extract_all(text, '[\p{L}\p{N}]')) AS an, len(regexp_extract_all(text, '[ҢңӨөҮү]')) AS sp FROM documents)
 SELECT doc_id, round_even(CASE WHEN ns > 0 THEN l / ns ELSE 0 END, 6)::DOUBLE AS alpha_ratio, round_even(CASE WHEN l > 0 THEN cy / l ELSE 0 END, 6)::DOUBLE AS cyrillic_ratio, round_even(CASE WHEN l > 0 THEN la / l ELSE 0 END, 6)::DOUBLE AS latin_ratio, round_even(CASE WHEN ns > 0 THEN (ns - an) / ns ELSE 0 END, 6)::DOUBLE AS special_ratio, sp::BIGINT AS specific FROM c""")
 def script_profile(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", *[v.alias(k) for k, v in T.script_counts(TEXT).items()])
+    d = docs(spark, sf_dir).select("doc_id", *[v.alias(k) for k, v in T.script_counts(doc_text()).items()])
     c = F.col
     return d.select("doc_id", r6(T.ratio(c("letters"), c("nonspace"))).alias("alpha_ratio"), r6(T.ratio(c("cyrillic"), c("letters"))).alias("cyrillic_ratio"), r6(T.ratio(c("latin"), c("letters"))).alias("latin_ratio"), r6(T.ratio(c("special"), c("nonspace"))).alias("special_ratio"), "specific")
 
@@ -105,19 +111,19 @@ GRAMS_SQL = rf"w AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}')[1:
 
 @query(f"WITH {LINES_SQL} SELECT d.doc_id, coalesce(total, 0)::BIGINT AS lines, coalesce(rep, 0)::BIGINT AS repeated, CASE WHEN total >= 2 THEN round_even(rep / total, 6) ELSE 0 END::DOUBLE AS ratio FROM documents d LEFT JOIN lr USING (doc_id)")
 def repeated_line_ratio(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", T.repeated_line_counts(TEXT).alias("c"))
+    d = docs(spark, sf_dir).select("doc_id", T.repeated_line_counts(doc_text()).alias("c"))
     return d.select("doc_id", F.col("c.total").alias("lines"), F.col("c.repeated").alias("repeated"), F.when(F.col("c.total") >= 2, r6(F.col("c.repeated") / F.col("c.total"))).otherwise(0.0).alias("ratio"))
 
 
 @query(f"WITH {GRAMS_SQL} SELECT d.doc_id, coalesce(total, 0)::BIGINT AS ngrams, coalesce(rep, 0)::BIGINT AS repeated, CASE WHEN total > 0 THEN round_even(rep / total, 6) ELSE 0 END::DOUBLE AS ratio FROM documents d LEFT JOIN gr USING (doc_id)")
 def repeated_ngram_ratio(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", T.repeated_ngram_counts(TEXT).alias("c"))
+    d = docs(spark, sf_dir).select("doc_id", T.repeated_ngram_counts(doc_text()).alias("c"))
     return d.select("doc_id", F.col("c.total").alias("ngrams"), F.col("c.repeated").alias("repeated"), F.when(F.col("c.total") > 0, r6(F.col("c.repeated") / F.col("c.total"))).otherwise(0.0).alias("ratio"))
 
 
 @query()
 def gzip_ratio(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", r6(T.gzip_ratio(TEXT)).alias("gzip_ratio"))
+    return docs(spark, sf_dir).select("doc_id", r6(T.gzip_ratio(doc_text())).alias("gzip_ratio"))
 
 
 CASCADE_SQL = rf"""{LINES_SQL}, {GRAMS_SQL}, m AS (SELECT doc_id, source, length(text) AS n, len(regexp_extract_all(text, '(?i)https?://\S+')) / greatest(1.0, length(text) / 1000) AS urls, len(regexp_extract_all(text, '<[^>]{{1,500}}>')) AS tags, length(regexp_replace(text, '\s', '', 'g')) AS ns, len(regexp_extract_all(text, '\p{{L}}')) AS letters, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]')) AS an FROM documents),
@@ -127,7 +133,7 @@ WHEN coalesce(lr.total, 0) >= 2 AND lr.rep / lr.total > 0.35 THEN 'repeated_line
 
 def reasons(spark, sf_dir):
     """The generic cascade on texts as they are, without the compression gate."""
-    d = docs(spark, sf_dir).withColumns({**{k: v for k, v in T.lengths(TEXT).items()}, "urls": T.url_density(TEXT), "tags": T.html_tags(TEXT), **T.script_counts(TEXT), "l": T.repeated_line_counts(TEXT), "g": T.repeated_ngram_counts(TEXT)})
+    d = docs(spark, sf_dir).withColumns({**{k: v for k, v in T.lengths(doc_text()).items()}, "urls": T.url_density(doc_text()), "tags": T.html_tags(doc_text()), **T.script_counts(doc_text()), "l": T.repeated_line_counts(doc_text()), "g": T.repeated_ngram_counts(doc_text())})
     c = F.col
     reason = (
         F.when(c("char_length") < 100, "too_short").when(c("urls") > 2, "url_density").when(c("tags") > 2, "html_tags").when(T.ratio(c("letters"), c("nonspace")) < 0.45, "low_alpha_ratio").when(T.ratio(c("special"), c("nonspace")) > 0.2, "high_special_ratio")
@@ -247,21 +253,21 @@ def lsh_near_pairs(spark, sf_dir):
     """Banded minhash candidates, verified: a subset of the exact pairs."""
     d = docs(spark, sf_dir).where(F.length("text") >= 100)
     pairs = dedup.lsh_candidates(d, "doc_id", "text")
-    s = d.select("doc_id", dedup.shingles(TEXT).alias("s"))
+    s = d.select("doc_id", dedup.shingles(doc_text()).alias("s"))
     j = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     return j.withColumn("shared", F.size(F.array_intersect("sa", "sb"))).where(F.col("shared") >= 0.75 * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
 @query("SELECT source, lang, doc_id, substr(sha256(text), 1, 16) AS ord FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY substr(sha256(text), 1, 16), doc_id) <= 10")
 def audit_bottom_k(spark, sf_dir):
-    d = docs(spark, sf_dir).withColumn("ord", hashing.audit_order(TEXT))
+    d = docs(spark, sf_dir).withColumn("ord", hashing.audit_order(doc_text()))
     return dedup.bottom_k(d, ["source", "lang"], 10, F.col("ord"), F.col("doc_id")).select("source", "lang", "doc_id", "ord")
 
 
 @query("SELECT source, doc_id, sha256(text) AS text_sha256, substr(text, 1, 2000) AS sample FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY sha256(text), doc_id) <= 20")
 def accepted_sample(spark, sf_dir):
-    d = docs(spark, sf_dir).withColumn("text_sha256", hashing.sha256(TEXT))
-    return dedup.bottom_k(d, ["source"], 20, *ORDER).select("source", "doc_id", "text_sha256", F.substring("text", 1, 2000).alias("sample"))
+    d = docs(spark, sf_dir).withColumn("text_sha256", hashing.sha256(doc_text()))
+    return dedup.bottom_k(d, ["source"], 20, *by_digest()).select("source", "doc_id", "text_sha256", F.substring("text", 1, 2000).alias("sample"))
 
 
 @query("SELECT doc_id, source, strlen(text)::BIGINT AS bytes FROM documents QUALIFY sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - strlen(text) < 60000")
@@ -272,7 +278,7 @@ def byte_cap_accept(spark, sf_dir):
 @query(rf"""WITH w AS (SELECT 'd' AS k, doc_id AS id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents UNION ALL SELECT 'b', item_id, regexp_extract_all(lower(text), '{WORD}') FROM benchmark), g AS (SELECT DISTINCT k, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) >= 5)
 SELECT d.id AS doc_id, b.id AS item_id, count(*)::BIGINT AS shared FROM g d JOIN g b ON d.g = b.g AND d.k = 'd' AND b.k = 'b' GROUP BY 1, 2""")
 def contamination_overlap(spark, sf_dir):
-    side = lambda d, id: d.select(F.col(id), F.explode(F.filter(dedup.shingles(TEXT), lambda s: F.size(F.split(s, " ")) == 5)).alias("g"))
+    side = lambda d, id: d.select(F.col(id), F.explode(F.filter(dedup.shingles(doc_text()), lambda s: F.size(F.split(s, " ")) == 5)).alias("g"))
     return side(docs(spark, sf_dir), "doc_id").join(side(table(spark, sf_dir, "benchmark"), "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
@@ -300,7 +306,7 @@ def mixture_sql() -> str:
 
 @query(mixture_sql())
 def capped_mixture(spark, sf_dir):
-    return mixture.capped_mixture(sized(spark, sf_dir), MIX["order"], MIX["caps"], MIX["target"], "source", "bytes", ORDER).select("doc_id", "source", "bytes")
+    return mixture.capped_mixture(sized(spark, sf_dir), MIX["order"], MIX["caps"], MIX["target"], "source", "bytes", by_digest()).select("doc_id", "source", "bytes")
 
 
 @query("WITH d AS (SELECT source, strlen(text) AS b, CASE WHEN ('0x' || substr(sha256(text), 1, 16))::UBIGINT % 100 = 0 THEN 'validation' ELSE 'train' END AS split FROM documents) SELECT split, source, count(*)::BIGINT AS docs, sum(b)::BIGINT AS bytes FROM d GROUP BY CUBE (split, source)")
@@ -339,7 +345,7 @@ def source_summary(spark, sf_dir):
 
 @query(rf"SELECT source, unnest(['raw_documents', 'raw_bytes', 'raw_words']) AS metric, unnest([count(*), sum(strlen(text)), sum(len(regexp_extract_all(text, '{WORD}')))])::BIGINT AS value FROM documents GROUP BY 1")
 def stats_counters(spark, sf_dir):
-    return report.counters(docs(spark, sf_dir), "source", {"raw_documents": F.lit(1), "raw_bytes": F.octet_length("text"), "raw_words": T.count(TEXT, WORD)})
+    return report.counters(docs(spark, sf_dir), "source", {"raw_documents": F.lit(1), "raw_bytes": F.octet_length("text"), "raw_words": T.count(doc_text(), WORD)})
 
 
 @query("WITH r AS (SELECT source, length(text) AS v, row_number() OVER (PARTITION BY source ORDER BY length(text)) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, max(n)::BIGINT AS n, max(v) FILTER (k = round_even((n - 1) * 0.1, 0))::BIGINT AS p10, max(v) FILTER (k = round_even((n - 1) * 0.5, 0))::BIGINT AS p50, max(v) FILTER (k = round_even((n - 1) * 0.9, 0))::BIGINT AS p90, max(v)::BIGINT AS max FROM r GROUP BY 1")
@@ -354,7 +360,7 @@ def char_inventory(spark, sf_dir):
 
 @query("SELECT count(*)::BIGINT AS docs, (count(*) FILTER (nfc_normalize(text) <> text))::BIGINT AS not_nfc FROM documents")
 def non_nfc_documents(spark, sf_dir):
-    return docs(spark, sf_dir).agg(F.count("*").alias("docs"), F.count(F.when(T.nfc(TEXT) != TEXT, 1)).alias("not_nfc"))
+    return docs(spark, sf_dir).agg(F.count("*").alias("docs"), F.count(F.when(T.nfc(doc_text()) != doc_text(), 1)).alias("not_nfc"))
 
 
 @query(r"SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{M}]+(?:[-''][\p{L}\p{M}]+)*')) AS word FROM documents) GROUP BY 1")
