@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -89,6 +90,34 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_is_exact(spark, monkeypatch):
+    # Groups of near-copied lines, null ids, and tokens dealt to several groups.
+    r = random.Random(5)
+    base = [[f"w{r.randrange(400)}" for _ in range(r.choice((6, 12, 30, 60)))] for _ in range(8)]
+    docs = []
+    for i in range(100):
+        lines = []
+        for _ in range(r.randrange(1, 5)):
+            line = list(r.choice(base)) if r.random() < 0.7 else [f"v{r.randrange(900)}" for _ in range(20)]
+            for _ in range(r.choice((0, 0, 1, 2))):
+                line[r.randrange(len(line))] = f"z{r.randrange(50)}"
+            lines.append(" ".join(line))
+        docs.append((i if i % 30 else None, "\n".join(lines)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want, seen = set(), []
+    for d, h, text in sorted(df.select(F.coalesce("doc_id", F.lit(-1)), F.xxhash64("text"), "text").collect()):
+        for k, line in enumerate(text.split("\n")):
+            w = line.split()
+            found = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+            if any(4 * len(found & o) >= 3 * len(found | o) for o in seen):
+                want.add((d, h, k))
+            seen.append(found)
+    for hot in (4096, 2):
+        monkeypatch.setattr(line_dedup, "HOT_LINES", hot)
+        got = [(-1 if d is None else d, th, k) for d, th, k in line_dedup.removed_lines(df).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_quality(spark):
     r = {x.doc_id: x for x in quality.apply_rules(frame(spark)).collect()}
     assert r[0].kept and r[4].base_failed and r[8].n_repeat_words == 120 and r[8].n_dup_lines == 1 and r[9].word_chars == 120
