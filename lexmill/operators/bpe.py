@@ -247,9 +247,9 @@ def encode_pretokens(df: DataFrame, model: Model, pretoken: str = "pretoken") ->
 
 def token_lengths(df: DataFrame, model: Model, id: str, text: str) -> DataFrame:
     """(id, tokens): a text's number of tokens.  Distinct pre-tokens are encoded once and joined back."""
-    pieces = df.select(id, F.explode(pretokens(F.col(text), model.style)).alias("pretoken")).groupBy(id, "pretoken").agg(F.count("*").alias("n"))
-    known = encode_pretokens(pieces.select("pretoken").distinct(), model).select("pretoken", F.size("ids").alias("k"))
-    sums = pieces.join(known, "pretoken").groupBy(id).agg(F.sum(F.col("n") * F.col("k")).alias("tokens"))
+    pieces = df.select(id, F.explode(pretokens(F.col(text), model.style)).alias("pretoken")).groupBy(id, "pretoken").agg(F.count("*").alias("__n"))
+    known = encode_pretokens(pieces.select("pretoken").distinct(), model).select("pretoken", F.size("ids").alias("__k"))
+    sums = pieces.join(known, "pretoken").groupBy(id).agg(F.sum(F.col("__n") * F.col("__k")).alias("tokens"))
     return df.select(id).join(sums, id, "left").select(id, F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
 
 

@@ -118,4 +118,6 @@ def clean(df: DataFrame, profile: Profile = GENERIC, text: str = "text") -> Data
         *[F.when(long_enough & ~F.coalesce(F.col("__cheap").isin("url_density", "html_tags"), F.lit(False)), F.col(f"__{k}")).alias(k) for k in ratios], F.col("__specific").alias("specific_chars"),
         F.col("__repeated_line_ratio").alias("repeated_line_ratio"), F.col("__repeated_ngram_ratio").alias("repeated_ngram_ratio"), F.col("__gzip").alias("gzip_ratio"),
     )
-    return d.withColumns({"metrics": metrics, "reason": F.coalesce("__cheap", dear)}).select(*df.columns, "clean_text", "tx", "metrics", "reason")
+    # Out of a generator, so that a filter on the reason isn't pushed below the measures, which would compute them many times.
+    found = F.struct("clean_text", "tx", metrics.alias("metrics"), F.coalesce("__cheap", dear).alias("reason"))
+    return d.select(*df.columns, F.inline(F.array(found)))

@@ -17,7 +17,7 @@ from ..functions.text import detokenize
 # Wiki namespaces, tags and headings that carry no prose.
 HIDDEN_NAMESPACES = ("category", "file", "image", "media", "категория", "файл", "сүрөт")
 HIDDEN_TAGS = ("gallery", "ref", "references")
-TRAILING_SECTION = r"(?im)^==+\s*(?:булактар|тышкы шилтемелер|шилтемелер|колдонулган адабияттар|дагы караңыз|эскертүүлөр|ссылки|примечания|литература)\s*==+\s*$"
+TRAILING_SECTION = r"(?imu)^==+\s*(?:булактар|тышкы шилтемелер|шилтемелер|колдонулган адабияттар|дагы караңыз|эскертүүлөр|ссылки|примечания|литература)\s*==+\s*$"
 
 SCHEMA = "source_id string, seq long, upstream_id string, text string, url string, metadata map<string,string>"
 
@@ -51,7 +51,7 @@ def plain_wikitext(text: Column) -> Column:
     for tag in HIDDEN_TAGS:
         t = F.regexp_replace(F.regexp_replace(t, rf"(?is)<{tag}\b[^>/]*/>", ""), rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, rf"(?i)\[\[\s*(?:{'|'.join(HIDDEN_NAMESPACES)})\s*:(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", "")
+    t = F.regexp_replace(t, rf"(?iu)\[\[\s*(?:{'|'.join(HIDDEN_NAMESPACES)})\s*:(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", "")
     for _ in range(3):
         t = F.regexp_replace(t, r"\{\{[^{}]*\}\}", "")
     t = F.regexp_replace(t, r"(?s)\{\|.*?\|\}", "")
