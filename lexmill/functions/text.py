@@ -63,6 +63,12 @@ def cut(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.regexp_replace(F.substring(head, F.lit(1), at.cast("int")), r"(?U)^\s+|\s+$", "")).otherwise(text)
 
 
+def settled(df, *names: str):
+    """df with the named columns out of a generator: the optimizer doesn't copy their expressions into those that use them."""
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
 def normalize(df, text: str = "text", most: int = 200_000, redact: bool = True, out: str = "clean_text"):
     """df with `out` and tx (counts of what was taken away).  The order of steps is part of the definition."""
     step = lambda d, pattern, name, with_: d.withColumn(f"__{name}", F.regexp_count("__t", F.lit(pattern))).withColumn("__t", F.regexp_replace("__t", pattern, with_))
@@ -73,7 +79,7 @@ def normalize(df, text: str = "text", most: int = 200_000, redact: bool = True,
     else:
         d = d.withColumns({"__emails_redacted": F.lit(0), "__ipv4_redacted": F.lit(0)})
     d = step(d, WIKI_MARKER, "residual_wiki_markers_removed", " ")
-    d = d.withColumn("__t", squeeze_lines(F.col("__t")))
+    d = settled(d.withColumn("__t", squeeze_lines(F.col("__t"))), "__t")
     d = d.withColumn("__truncated", (F.length("__t") > most).cast("int")).withColumn(out, cut(F.col("__t"), most))
     names = ["control_chars_removed", "emails_redacted", "ipv4_redacted", "residual_wiki_markers_removed", "truncated"]
     return d.withColumn("tx", F.struct(*[F.col(f"__{n}").alias(n) for n in names])).drop("__t", *[f"__{n}" for n in names])

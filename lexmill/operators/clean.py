@@ -82,10 +82,11 @@ def clean(df: DataFrame, profile: Profile = GENERIC, text: str = "text") -> Data
     n-grams, compression) are only computed for rows that pass the cheap gates.
     """
     p = profile
-    d = T.normalize(df, text, p.max_chars, p.redact_pii)
+    d = T.settled(T.normalize(df, text, p.max_chars, p.redact_pii), "clean_text", "tx")
     c = F.col("clean_text")
     s = T.script_counts(c)
     d = d.withColumns({f"__{k}": v for k, v in (T.lengths(c) | {"urls": T.url_density(c), "tags": T.html_tags(c)} | s).items()})
+    d = T.settled(d, *[x for x in d.columns if x.startswith("__")])
     ratios = {"alpha_ratio": T.ratio(F.col("__letters"), F.col("__nonspace")), "cyrillic_ratio": T.ratio(F.col("__cyrillic"), F.col("__letters")), "latin_ratio": T.ratio(F.col("__latin"), F.col("__letters")), "special_char_ratio": T.ratio(F.col("__special"), F.col("__nonspace"))}
     d = d.withColumns({f"__{k}": v for k, v in ratios.items()})
     gates = [
@@ -100,12 +101,13 @@ def clean(df: DataFrame, profile: Profile = GENERIC, text: str = "text") -> Data
     reason = F.lit(None).cast("string")
     for name, limit, fails in reversed(gates):
         reason = reason if limit is None else F.when(fails, name).otherwise(reason)
-    d = d.withColumn("__cheap", reason)
+    d = T.settled(d.withColumn("__cheap", reason), "__cheap")
     passed = F.col("__cheap").isNull()
     d = d.withColumns({
         "__lines": F.when(passed, T.repeated_line_counts(c)), "__grams": F.when(passed, T.repeated_ngram_counts(c, p.repeated_ngram_size)),
         "__gzip": F.when(passed, T.gzip_ratio(F.when(passed, c))) if p.min_gzip_ratio is not None else F.lit(None).cast("double"),
     })
+    d = T.settled(d, "__lines", "__grams", "__gzip")
     lines = F.when(F.col("__lines.total") >= 2, F.col("__lines.repeated") / F.col("__lines.total")).otherwise(F.when(passed, 0.0))
     grams = F.when(F.col("__grams.total") > 0, F.col("__grams.repeated") / F.col("__grams.total")).otherwise(F.when(passed, 0.0))
     d = d.withColumns({"__repeated_line_ratio": lines, "__repeated_ngram_ratio": grams})
