@@ -151,3 +151,97 @@ def test_revisits(spark):
     got = {r.record_id: r for r in warc.resolve_revisits(d).collect()}
     assert [got[f"r{k}"].resolution for k in range(1, 6)] == ["response", "resolved", "mismatch", "no-response", "unusable"]
     assert got["r2"].refers_to == "r1" and got["r2"].merged == {"etag": 'W/"1"', "date": "d", "content-type": "text/html"} and got["r2"].body_length == 9
+
+
+POOLS = {
+    "en": "the of and to in that was his with for had which from this were they would there been their when who will more said time other about could".split(),
+    "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch werden aus hat dass sie nach wird bei einer um".split(),
+    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec mais nous cette comme".split(),
+    "es": "de la que el en los se del las un por con no una su para es al lo como pero sus le ha porque esta entre cuando muy sin".split(),
+}
+
+
+def pipeline_documents():
+    """Four languages; repeated and nearly repeated lines, near copies in short lines, benchmark passages, texts without letters."""
+    r = random.Random(3)
+    docs, passage = [], "on the ninth day seven grey herons crossed the frozen lake together"
+    for i in range(72):
+        lang = list(POOLS)[i % 4]
+        mk = lambda n: [r.choice(POOLS[lang]) if r.random() < 0.8 else f"{lang}word{r.randrange(10**6)}" for _ in range(n)]
+        lines = [" ".join(mk(r.choice((3, 8, 20, 60)))) for _ in range(4)]
+        docs.append((i, "\n".join(lines), lang, r.choice(["src1", "src2", "src16", None]), 0))
+    text = lambda k: docs[k][1]
+    put = lambda t, like: docs.append((len(docs), t, docs[like][2], docs[like][3], 0))
+    put(text(0), 0)
+    for k in (4, 5, 6):
+        long_ = [f"{docs[k][2]}x{k}x{j}" for j in range(60)]
+        put(" ".join(long_), k)
+        put(" ".join(["changed" if j == 20 else w for j, w in enumerate(long_)]) + ("" if k == 4 else "\n" + text(k + 10)[:10]), k)
+        short = [" ".join(f"{docs[k][2]}y{k}y{4 * a + b}" for b in range(4)) for a in range(30)]
+        put("\n".join(short), k)
+        put("\n".join(["one other line here" if a == 3 else s for a, s in enumerate(short)]), k)
+    put(text(8) + "\n" + passage.upper() + " " + text(12).split("\n")[1], 8)
+    put("an unrelated text with the zebra-crossing rule", 0)
+    docs.extend([(200, None, "en", "src1", 0), (201, "", "en", "src1", 0), (202, "12 !", None, "src1", 0)])
+    return docs, [(1, passage), (2, "Zebra crossing"), (3, None)]
+
+
+def grams(w, n):
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from lexmill.llm.queries import WEIGHTS, domain_of
+
+    docs, items = pipeline_documents()
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = [(r.doc_id, r.text, r.epoch) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+
+    # The classifier is fitted, so its labels are taken over; whom it rejects is known.
+    source = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    named = {r.doc_id: r for r in corpus_pipeline.identify_language(spark, source, str(tmp_path)).collect()}
+    assert set(named) == {d[0] for d in docs if re.search("[a-z]", d[1] or "")}
+    assert sum(named[k].lang == docs[k][2] for k in range(72)) >= 65
+
+    seen, rows = [], []
+    for k in sorted(named):
+        kept, lines = [], named[k].text.split("\n")
+        for line in lines:
+            g = grams(words(line), 5)
+            if not any(4 * len(g & o) >= 3 * len(g | o) for o in seen if g):
+                kept.append(line)
+            seen.append(g)
+        if len(kept) == len(lines) or words("\n".join(kept)):
+            rows.append((k, "\n".join(kept), named[k].lang, named[k].source))
+    assert len(rows) < len(named)
+
+    of = brute_components([r[1] for r in rows])
+    single = [r for k, r in enumerate(rows) if of[k][1] == k]
+    assert len(single) < len(rows)
+
+    alnum = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    windows = set().union(*[grams(w, min(10, len(w))) for w in (alnum(t) for _, t in items) if w])
+    clean = [r for r in single if not any(windows & grams(alnum(r[1]), n) for n in {len(w) for w in windows})]
+    assert len(clean) == len(single) - 2
+
+    d = spark.createDataFrame(clean, "doc_id long, text string, lang string, source string")
+    row = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    d = d.select("*", domain_of(F.col("source")).alias("domain"), *[F.xxhash64(F.lit(17), F.lit(e), row).alias(f"h{e}") for e in (0, 1)])
+    leaves, want = {}, []
+    for r in d.collect():
+        leaves.setdefault((r.domain, r.lang, r.source), []).append(r)
+    available = {k: sum(len(words(r.text)) for r in v) for k, v in leaves.items()}
+    budgets = mixing.plan(available, sum(available.values()) // 2, WEIGHTS)
+    unsigned = lambda h: h % (1 << 64) >> 52
+    for leaf, members in leaves.items():
+        for e in (0, 1):
+            left = min(available[leaf], budgets[leaf] - e * available[leaf])
+            for r in sorted(members, key=lambda r: (unsigned(r[f"h{e}"]), r[f"h{e}"])):
+                left -= len(words(r.text))
+                if left < 0 or budgets[leaf] <= e * available[leaf]:
+                    break
+                want.append((r.doc_id, r.text, e))
+    assert sorted(got) == sorted(want) and want
