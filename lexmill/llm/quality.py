@@ -4,7 +4,9 @@ The sketch is a histogram of logarithmic buckets (each about 2 % wide), so that
 most.  Sketches are rows (group, measure, bucket, count): merging is adding counts, which Spark does map-side, so the
 result is the same however rows are dealt, and a group with a third of all rows weighs nothing.  Fences are upper
 quartile plus `reach` interquartile ranges of a measure in a language and source; groups of fewer than `least` rows take
-those of the language, and else of all rows.
+those of the language, and else of all rows.  Shares of symbols, repeated lines and repeated words are 0 in most rows,
+which leaves no interquartile range: there the cutoff is the `tail` quantile, but no less than the median of the values
+above 0, so that one repeated line is no reason yet.  They are sketched from the rows that pass the base rule.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ _GROWTH = 1.02
 #: Added before the logarithm, so that 0 has a bucket; ratios below it count as 0.
 _SHIFT = 1e-3
 MEASURES = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_length")
+#: The upper end of the bucket that 0 is in.
+_ZERO = math.floor(math.log(_SHIFT) / math.log(_GROWTH))
+_NOTHING = _GROWTH ** (_ZERO + 1) - _SHIFT
 
 
 def _repeated(runs: np.ndarray, n: int) -> int:
@@ -100,10 +105,15 @@ def _values() -> dict:
     }
 
 
+def _base_failed():
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def sketch(measured: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, measure, bucket, n): mergeable by adding n."""
-    cells = F.array(*[F.struct(F.lit(k).alias("measure"), F.floor(F.log(v + F.lit(_SHIFT)) / math.log(_GROWTH)).cast("int").alias("bucket")) for k, v in _values().items()])
-    return measured.select(*keys, F.explode(cells).alias("cell")).groupBy(*keys, "cell.measure", "cell.bucket").agg(F.count("*").alias("n"))
+    """(keys, measure, bucket, n): mergeable by adding n.  Word length is that of all rows, the shares those of rows that pass the base rule."""
+    bucket = lambda v: F.floor(F.log(v + F.lit(_SHIFT)) / math.log(_GROWTH)).cast("int")
+    cells = F.array(*[F.struct(F.lit(k).alias("measure"), (bucket(v) if k == "word_length" else F.when(~_base_failed(), bucket(v))).alias("bucket")) for k, v in _values().items()])
+    return measured.select(*keys, F.explode(cells).alias("cell")).where("cell.bucket IS NOT NULL").groupBy(*keys, "cell.measure", "cell.bucket").agg(F.count("*").alias("n"))
 
 
 def quantiles(sketched: DataFrame, keys: list[str], at: dict[str, float]) -> DataFrame:
@@ -115,16 +125,26 @@ def quantiles(sketched: DataFrame, keys: list[str], at: dict[str, float]) -> Dat
     return ranked.groupBy(*by).agg(F.max("all").alias("n"), *[F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), middle)).alias(k) for k, q in at.items()])
 
 
-def apply_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = 200, reach: float = 6.0, floor: dict[str, float] | None = None) -> DataFrame:
+def fences(sketched: DataFrame, keys: list[str], reach: float, tail: float) -> DataFrame:
+    """(keys, measure, n, low, high).  The high end of a share is a bucket's upper end, so that equal values stay together."""
+    q = quantiles(sketched, keys, {"q1": 0.25, "q3": 0.75, "tail": tail})
+    above = quantiles(sketched.where(F.col("bucket") > _ZERO), keys, {"middle": 0.5}).drop("n")
+    upper = lambda c: (F.col(c) + _SHIFT) * math.sqrt(_GROWTH) * (1 + 1e-9) - _SHIFT
+    spread = F.col("q3") - F.col("q1")
+    share = F.when(F.col("q3") < _NOTHING, F.greatest(upper("tail"), upper("middle"))).otherwise(upper("q3") + reach * spread)
+    high = F.when(F.col("measure") == "word_length", F.col("q3") + reach * spread).otherwise(share)
+    return q.join(above, [*keys, "measure"], "left").select(*keys, "measure", "n", (F.col("q1") - reach * spread).alias("low"), high.alias("high"))
+
+
+def apply_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = 200, reach: float = 6.0, floor: dict[str, float] | None = None, tail: float = 0.95) -> DataFrame:
     """df without the text, with the counts of measure(), base_failed and kept (boolean).
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated 8-word runs.  kept: not base_failed, and no
     measure outside the fences of its language and source: symbols, repeated lines and repeated words only count above
-    them, word length on both sides.  floor: what a fence is at least, so that a group whose rows are all alike doesn't
-    reject by a hair.  Null languages and sources are groups of their own; null and empty texts fail the base rule; no rows
+    them, word length on both sides.  floor: what a measure's fence is at least; none by default.  Null languages and sources are groups of their own; null and empty texts fail the base rule; no rows
     give no rows.  Columns named like added ones are replaced.
     """
-    floor = {"symbol_ratio": 0.5, "dup_line_ratio": 0.5, "repeat_ratio": 0.3} | (floor or {})
+    floor = floor or {}
     measured = materialize(measure(df, text))
     keys = {"both": ["__l", "__s"], "lang": ["__l"], "all": []}
     m = measured.withColumns({"__l": F.coalesce(F.col(lang).cast("string"), F.lit("\x00")), "__s": F.coalesce(F.col(source).cast("string"), F.lit("\x00"))})
@@ -132,8 +152,7 @@ def apply_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: s
     tables = {}
     for name, by in keys.items():
         merged = fine.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
-        q = quantiles(merged, by, {"q1": 0.25, "q3": 0.75}).withColumn("spread", F.col("q3") - F.col("q1"))
-        rows = q.where(F.col("n") >= (least if by else 0)).groupBy(*by).agg(*[F.max(F.when(F.col("measure") == k, F.struct((F.col("q1") - reach * F.col("spread")).alias("low"), (F.col("q3") + reach * F.col("spread")).alias("high")))).alias(f"__{name}_{k}") for k in MEASURES])
+        rows = fences(merged, by, reach, tail).where(F.col("n") >= (least if by else 0)).groupBy(*by).agg(*[F.max(F.when(F.col("measure") == k, F.struct("low", "high"))).alias(f"__{name}_{k}") for k in MEASURES])
         tables[name] = materialize(rows)
     for name in ("both", "lang"):
         small = tables[name].count() <= 100_000
@@ -145,8 +164,7 @@ def apply_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: s
     ok = F.lit(True)
     for k, v in _values().items():
         fence = F.coalesce(*[F.col(f"__{name}_{k}") for name in keys])
-        ok &= F.coalesce(v <= F.greatest(fence["high"], F.lit(floor.get(k, 0.0))), F.lit(True))
+        ok &= F.coalesce(v <= (F.greatest(fence["high"], F.lit(floor[k])) if k in floor else fence["high"]), F.lit(True))
         if k == "word_length":
             ok &= F.coalesce(v >= fence["low"], F.lit(True))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return m.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ok).drop("__l", "__s", *[f"__{n}_{k}" for n in keys for k in MEASURES])
+    return m.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & ok).drop("__l", "__s", *[f"__{n}_{k}" for n in keys for k in MEASURES])

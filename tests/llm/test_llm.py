@@ -123,6 +123,17 @@ def test_quality(spark):
     assert r[0].kept and r[4].base_failed and r[8].n_repeat_words == 120 and r[8].n_dup_lines == 1 and r[9].word_chars == 120
 
 
+def test_quality_cutoffs_come_from_the_data(spark):
+    # 200 documents without symbols or repeats, and a few with growing shares, all below what the base rule takes.
+    clean = [" ".join(f"w{i}x{j}" for j in range(100)) for i in range(200)]
+    symbols = [f"{clean[0]} " + "#" * k for k in (1, 2, 3, 40)]
+    lines = [clean[1].replace(" ", "\n") + "".join(f"\nw1x{k - j}" for j in range(k)) for k in (1, 2, 3, 40)]
+    words_ = [f"{clean[2]} " + " ".join(f"w2x{j}" for j in range(k)) for k in (8, 9, 10, 15)]
+    r = {x.doc_id: x for x in quality.apply_rules(frame(spark, clean + symbols + lines + words_), least=100).collect()}
+    assert not any(x.base_failed for x in r.values()) and all(r[k].kept for k in range(200))
+    assert [[r[k].kept for k in range(a, a + 4)] for a in (200, 204, 208)] == [[True, True, False, False]] * 3
+
+
 def test_language(spark):
     rows = [(k, t, n) for k, (t, n) in enumerate([("the of and that with", "en"), ("der die und nicht ein", "de"), ("le les et que des", "fr"), ("el los y que del", "es")] * 5)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
