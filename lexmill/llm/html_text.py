@@ -3,7 +3,7 @@
 The page becomes a tree (unclosed and stray tags mended), without scripts, forms, navigation and what its tag, role,
 class or id says to be menu, advert, notice, sidebar or comments.  Each node's density is its characters per tag,
 lowered by the share of its characters and tags that are links; a node's sum is that of its children's densities, and
-the node with the largest sum holds the text.  The least density on the path from it to the body is the threshold:
+the node with the largest sum holds the text, an article around it included.  The least density on the path from it to the body is the threshold:
 siblings along that path that reach it, and are made of blocks of their own, belong to the text as well.
 """
 
@@ -193,15 +193,15 @@ def extract(page: str) -> str:
     while node is not None:
         path.append(node)
         node = node.parent
-    threshold = min(x.density for x in path)
-    if any(x.tag in ("article", "main") for x in path):
-        inner = next(x for x in path if x.tag in ("article", "main"))
-        return "\n\n".join(_blocks([inner]))
-    chosen = {id(best)}
+    threshold = min(x.density for x in path if x is best or x.tag not in ("html", "#root"))
+    # An article around the best node is a hint: it stays whole, and the threshold chooses what stands beside it.
+    best = next((x for x in path if x.tag == "article"), best)
+    path = path[path.index(best) :]
+    chosen, above = {id(best)}, {id(x) for x in path}
     for node in path[1:]:
         if node.tag in ("html", "#root"):
             break
-        chosen |= {id(x) for x in node.children if isinstance(x, Node) and not x.gone and x.sum > 0 and x.density >= threshold and x.tag not in _INLINE and x.sum >= 0.2 * best.sum}
+        chosen |= {id(x) for x in node.children if isinstance(x, Node) and not x.gone and id(x) not in above and x.sum > 0 and x.density >= threshold and x.tag not in _INLINE and x.sum >= 0.2 * best.sum}
     picked = []
 
     def collect(node: Node) -> None:

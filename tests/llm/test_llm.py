@@ -149,6 +149,25 @@ def test_html():
     assert html_text.extract("") == "" and html_text.extract("<p") == ""
 
 
+def paragraphs(name, n=5, size=200):
+    return [f"{name}{k} " + "x" * (size - len(f"{name}{k} ")) for k in range(n)]
+
+
+def markup(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_html_of_several_articles_or_none():
+    a, b = paragraphs("a"), paragraphs("b")
+    both = "\n\n".join(a + b)
+    links = "<div>" + "".join("<p><a href=x>one more page</a></p>" for _ in range(5)) + "</div>"
+    assert html_text.extract(f"<body><main><article>{markup(a)}</article><article>{markup(b)}</article></main>{links}</body>") == both
+    assert html_text.extract(f"<body><article><section>{markup(a)}</section><article>{markup(b)}</article></article>{links}</body>") == both
+    assert html_text.extract(f"<body><div><div>{markup(a)}</div><div>{markup(b)}</div></div>{links}</body>") == both
+    # Inside main, density decides as well.
+    assert html_text.extract(f"<body><main><div>{markup(a)}</div>{links}</main></body>") == "\n\n".join(a)
+
+
 def test_mixing(spark):
     assert mixing.plan({("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 5}, 60, epochs=1) == {("a", "x"): 10, ("a", "y"): 45, ("b", "z"): 5}
     got = mixing.mix(frame(spark), F.lit("web"), 1.0, epochs=1)
