@@ -3,8 +3,9 @@
 The page becomes a tree (unclosed and stray tags mended), without scripts, forms, navigation and what its tag, role,
 class or id says to be menu, advert, notice, sidebar or comments.  Each node's density is its characters per tag,
 lowered by the share of its characters and tags that are links; a node's sum is that of its children's densities, and
-the node with the largest sum holds the text, an article around it included.  The least density on the path from it to the body is the threshold:
-siblings along that path that reach it, and are made of blocks of their own, belong to the text as well.
+the node with the largest sum holds the text, an article around it included.  The least density on the path from it to
+the body is the threshold: siblings along that path that reach it belong to the text as well, single blocks and text
+that stands in the path's nodes themselves included, and so do the headings right before what belongs to it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ _BOILER = re.compile(
     re.I,
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _SPACE = re.compile(r"\s+")
 
 
@@ -121,6 +123,29 @@ def parse(page: str) -> Node:
     return root
 
 
+def _count(node: Node) -> None:
+    """Characters and tags of a node, its children's included."""
+    for c in node.children:
+        if isinstance(c, str):
+            n = len(_SPACE.sub(" ", html.unescape(c)).strip()) if "&" in c else len(_SPACE.sub(" ", c).strip())
+            node.chars += n
+        elif not c.gone:
+            node.chars += c.chars
+            node.tags += c.tags + (c.tag != "br")
+            node.link_chars += c.link_chars
+            node.link_tags += c.link_tags
+    if node.tag == "a":
+        node.link_chars, node.link_tags = node.chars, node.link_tags + 1
+
+
+def _density(node: Node, root: Node) -> float:
+    c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, node.link_tags
+    if not c:
+        return 0.0
+    base = math.log(c / max(1, c - lc) * lc + root.link_chars / max(1, root.chars) * c + math.e)
+    return c / t * (math.log(c / max(1, lc) * t / max(1, lt)) / math.log(base) if lc and base > 1 and c * t > max(1, lc) * max(1, lt) else (1.0 if not lc else 0.0))
+
+
 def _measure(root: Node) -> list[Node]:
     """Counts and densities of all nodes, children before parents."""
     order, stack = [], [root]
@@ -130,23 +155,9 @@ def _measure(root: Node) -> list[Node]:
         stack += [c for c in node.children if isinstance(c, Node) and not c.gone]
     order.reverse()
     for node in order:
-        for c in node.children:
-            if isinstance(c, str):
-                n = len(_SPACE.sub(" ", html.unescape(c)).strip()) if "&" in c else len(_SPACE.sub(" ", c).strip())
-                node.chars += n
-            elif not c.gone:
-                node.chars += c.chars
-                node.tags += c.tags + (c.tag != "br")
-                node.link_chars += c.link_chars
-                node.link_tags += c.link_tags
-        if node.tag == "a":
-            node.link_chars, node.link_tags = node.chars, node.link_tags + 1
-    body_chars, body_links = max(1, root.chars), root.link_chars
+        _count(node)
     for node in order:
-        c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, node.link_tags
-        if c:
-            base = math.log(c / max(1, c - lc) * lc + body_links / body_chars * c + math.e)
-            node.density = c / t * (math.log(c / max(1, lc) * t / max(1, lt)) / math.log(base) if lc and base > 1 and c * t > max(1, lc) * max(1, lt) else (1.0 if not lc else 0.0))
+        node.density = _density(node, root)
         node.sum = sum(x.density for x in node.children if isinstance(x, Node) and not x.gone)
     return order
 
@@ -180,6 +191,25 @@ def _blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
+def _parts(node: Node, whole: Node) -> list[Node]:
+    """The blocks a node is made of, `whole` one of them; text and inline elements between them are blocks as well, of tag #run."""
+    out: list[Node] = []
+    for c in node.children:
+        if isinstance(c, Node) and (c is whole or c.tag not in _INLINE and c.tag != "br"):
+            if not c.gone:
+                out.append(c)
+            continue
+        if isinstance(c, Node) and c.gone or isinstance(c, str) and not c.strip() and not (out and out[-1].tag == "#run"):
+            continue
+        if not (out and out[-1].tag == "#run"):
+            out.append(Node("#run", node))
+        out[-1].children.append(c)
+    for x in out:
+        if x.tag == "#run":
+            _count(x)
+    return out
+
+
 def extract(page: str) -> str:
     """The page's main text: its blocks, two line feeds apart; empty if there is none."""
     root = parse(page)
@@ -193,27 +223,19 @@ def extract(page: str) -> str:
     while node is not None:
         path.append(node)
         node = node.parent
-    threshold = min(x.density for x in path if x is best or x.tag not in ("html", "#root"))
+    beyond = ("html", "#root") if any(x.tag == "body" for x in path) else ()
+    threshold = min(x.density for x in path if x is best or x.tag not in beyond)
     # An article around the best node is a hint: it stays whole, and the threshold chooses what stands beside it.
     best = next((x for x in path if x.tag == "article"), best)
     path = path[path.index(best) :]
-    chosen, above = {id(best)}, {id(x) for x in path}
-    for node in path[1:]:
-        if node.tag in ("html", "#root"):
-            break
-        chosen |= {id(x) for x in node.children if isinstance(x, Node) and not x.gone and id(x) not in above and x.sum > 0 and x.density >= threshold and x.tag not in _INLINE and x.sum >= 0.2 * best.sum}
-    picked = []
-
-    def collect(node: Node) -> None:
-        todo = [node]
-        while todo:
-            x = todo.pop()
-            if id(x) in chosen:
-                picked.append(x)
-            else:
-                todo += [c for c in reversed(x.children) if isinstance(c, Node) and not c.gone]
-
-    collect(root)
+    picked = [best]
+    for below, node in zip(path, path[1:]):
+        parts = _parts(node, below)
+        at = next(k for k, x in enumerate(parts) if x is below)
+        belongs = [k == at or (d := _density(x, root)) > 0 and d >= threshold for k, x in enumerate(parts)]
+        for k in range(len(parts) - 2, -1, -1):
+            belongs[k] |= belongs[k + 1] and parts[k].tag in _HEADINGS and _density(parts[k], root) > 0
+        picked = [x for k, x in enumerate(parts[:at]) if belongs[k]] + picked + [x for k, x in enumerate(parts) if k > at and belongs[k]]
     return "\n\n".join(_blocks(picked))
 
 

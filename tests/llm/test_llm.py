@@ -168,6 +168,16 @@ def test_html_of_several_articles_or_none():
     assert html_text.extract(f"<body><main><div>{markup(a)}</div>{links}</main></body>") == "\n\n".join(a)
 
 
+def test_html_single_blocks_beside_the_best():
+    lead, end, body = "lead " + "y" * 295, "end " + "z" * 296, paragraphs("a")
+    links = "<p><a href=x>" + "one more page " * 30 + "</a></p>"
+    page = f"<body><div class=post><h1>The title</h1><p>{lead}</p><div class=body>{markup(body)}</div>{links}<p>{end}</p></div><h2>More pages</h2>{links}</body>"
+    assert html_text.extract(page) == "\n\n".join(["The title", lead, *body, end])
+    # Text of the outer node itself, a short section, and a page without body.
+    page = f"<div>{lead} <b>bold</b><div>{markup(body)}</div>{end}<div><p>{'s' * 250}</p></div></div>"
+    assert html_text.extract(page) == "\n\n".join([f"{lead} bold", *body, end, "s" * 250])
+
+
 def test_mixing(spark):
     assert mixing.plan({("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 5}, 60, epochs=1) == {("a", "x"): 10, ("a", "y"): 45, ("b", "z"): 5}
     got = mixing.mix(frame(spark), F.lit("web"), 1.0, epochs=1)
