@@ -1,7 +1,8 @@
 """Main text of HTML pages by composite text density.
 
 The page becomes a tree (unclosed and stray tags mended), without scripts, forms, navigation and what its tag, role,
-class or id says to be menu, advert, notice, sidebar or comments.  Each node's density is its characters per tag,
+class or id says to be menu, advert, notice, sidebar or comments; a class or id counts as a whole, and not where the
+page's only article or, without one, most of its text is.  Each node's density is its characters per tag,
 lowered by the share of its characters and tags that are links; a node's sum is that of its children's densities, and
 the node with the largest sum holds the text, an article around it included.  The least density on the path from it to
 the body is the threshold: siblings along that path that reach it belong to the text as well, single blocks and text
@@ -29,9 +30,10 @@ _CLOSES_P = frozenset("address article aside blockquote details dialog div dl fi
 #: An open tag of the key ends an open one of the value, but not beyond one of _SCOPE.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _SCOPE = frozenset("table ul ol dl td th body html article section div main".split())
+#: A whole class or id, alone or with a word that says what part of the page it is.
 _BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|popup|modal|overlay|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscribe|subscription|signup|login|menu|nav|navbar|navigation|topnav|breadcrumbs?|sidebar|side-bar|widget\w*|"
-    r"related|recommend\w*|share|sharing|social|comments?|disqus|respond|replies|reply|discussion|footer|masthead|pager|pagination|toolbar|tags?|meta|byline-links|skip|search|outbrain|taboola|copyright|legal|disclaimer)(?:$|[\s_-])",
+    r"(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|header|footer)[_-])?(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|popup|modal|overlay|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscribe|subscription|signup|login|menu|nav|navbar|navigation|topnav|breadcrumbs?|sidebar|side-bar|widget\w*|"
+    r"related|recommend\w*|share|sharing|social|comments?|disqus|respond|replies|reply|discussion|footer|masthead|pager|pagination|toolbar|tags?|meta|byline-links|skip|search|outbrain|taboola|copyright|legal|disclaimer)(?:[_-](?:s?box|bar|slot|unit|list|area|section|links?|buttons?|icons?|posts?|articles?|container|wrapper|wrap|form|menu|widget))?",
     re.I,
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
@@ -40,10 +42,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "gone", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "density", "gone", "link_chars", "link_tags", "named", "parent", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, gone: bool = False):
-        self.tag, self.parent, self.gone, self.children = tag, parent, gone, []
+    def __init__(self, tag: str, parent: Node | None, gone: bool = False, named: bool = False):
+        self.tag, self.parent, self.gone, self.named, self.children = tag, parent, gone, named, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -61,15 +63,20 @@ def _boilerplate(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and _BOILER.search(value):
-            return True
     return False
 
 
+def _named(tag: str, attributes: str) -> bool:
+    """Whether a class or id says that the element is boilerplate."""
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    return any(m[1].lower() in ("class", "id") and any(map(_BOILER.fullmatch, (m[2] or "").strip("\"'").split())) for m in _ATTRIBUTE.finditer(attributes))
+
+
 def parse(page: str) -> Node:
     """The tree under a root; text is str, elements are Node, boilerplate nodes are there but marked gone."""
     root = Node("#root", None)
-    at, top, end = 0, root, len(page)
+    at, top, end, names = 0, root, len(page), False
 
     def close_until(node: Node) -> Node:
         return node.parent or root
@@ -108,7 +115,8 @@ def parse(page: str) -> Node:
                     top = close_until(top)
         elif tag == "body" and top.tag == "head":
             top = close_until(top)
-        node = Node(tag, top, top.gone or _boilerplate(tag, m[3]))
+        node = Node(tag, top, top.gone or _boilerplate(tag, m[3]), _named(tag, m[3]))
+        names |= node.named
         top.children.append(node)
         if tag in _VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
@@ -120,9 +128,35 @@ def parse(page: str) -> Node:
                 at = end
             continue
         top = node
+    if names:
+        _drop_named(root)
     return root
 
 
+def _drop_named(root: Node) -> None:
+    """Marks what its name says to be boilerplate as gone, but not what holds its only articles or, without any, most of its text outside links."""
+    order, stack, outside = [], [(root, False)], False
+    while stack:
+        node, within = stack.pop()
+        order.append(node)
+        within |= node.named
+        outside |= node.tag in ("article", "main") and not within
+        stack += [(c, within) for c in node.children if isinstance(c, Node) and not c.gone]
+    plain, holds = {}, {}
+    for node in reversed(order):
+        below = [c for c in node.children if isinstance(c, Node) and not c.gone]
+        plain[node] = 0 if node.tag == "a" else sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(plain[c] for c in below)
+        holds[node] = node.tag in ("article", "main") or any(holds[c] for c in below)
+    for node in order:
+        node.gone |= node.parent is not None and node.parent.gone
+        node.gone |= node.named and (outside or not (holds[node] or 2 * plain[node] > plain[root]))
+    for node in order:
+        if node.gone:
+            for c in node.children:
+                if isinstance(c, Node):
+                    c.gone = True
+
+
 def _count(node: Node) -> None:
     """Characters and tags of a node, its children's included."""
     for c in node.children:

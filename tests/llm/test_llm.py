@@ -178,6 +178,16 @@ def test_html_single_blocks_beside_the_best():
     assert html_text.extract(page) == "\n\n".join([f"{lead} bold", *body, end, "s" * 250])
 
 
+def test_html_names_do_not_drop_the_text():
+    a, b = paragraphs("a"), paragraphs("b", 2)
+    for name in ("class='content has-sidebar'", "class='post with-comments'", "class='entry no-sidebar'", "id='page-meta'", "class=comments"):
+        assert html_text.extract(f"<body><div {name}><article>{markup(a)}</article></div></body>") == "\n\n".join(a)
+        assert html_text.extract(f"<body><div {name}>{markup(a)}</div><p>short</p></body>") == "\n\n".join(a)
+    # What is named so and holds neither most text nor the only article still goes, articles among comments too.
+    for name in ("class='side comments'", "id=comment-list", "class=site-footer", "class=sidebar"):
+        assert html_text.extract(f"<body><article>{markup(a)}</article><div {name}><article>{markup(b)}</article></div></body>") == "\n\n".join(a)
+
+
 def test_mixing(spark):
     assert mixing.plan({("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 5}, 60, epochs=1) == {("a", "x"): 10, ("a", "y"): 45, ("b", "z"): 5}
     got = mixing.mix(frame(spark), F.lit("web"), 1.0, epochs=1)
