@@ -12,6 +12,7 @@ most) are broadcast, the others are joined by shuffle.  Both grow with the corpu
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,6 +52,11 @@ def _hash(text: str) -> int:
     return h & 0xFFFFFFFFFFFFFFFF
 
 
+def _log_sum(terms: list[float]) -> float:
+    most = max(terms, default=-math.inf)
+    return most + math.log(sum(math.exp(x - most) for x in terms)) if most > -math.inf else most
+
+
 class Lattice:
     """Unigram log probabilities (natural) of pieces, of one byte of a character that no piece covers, and of the end."""
 
@@ -67,17 +73,46 @@ class Lattice:
         self.hashes = hashes[self.order]
         self.single = np.array(sorted({ord(p) for p in pieces if len(p) == 1}), np.uint32)
 
+    def _ending(self, text: str, j: int) -> list[tuple[int, int, float]]:
+        """Edges that end at j: (start, piece or -1 for bytes, log probability)."""
+        found = [(i, k, float(self.log[k])) for i in range(max(0, j - self.longest), j) if (k := self.index.get(text[i:j])) is not None]
+        if text[j - 1] not in self.index:
+            found.append((j - 1, -1, self.byte * len(text[j - 1].encode())))
+        return found
+
     def word(self, word: str) -> float:
         """Log probability of one word: the plain recursion, for words too long to be worth a matrix."""
         text = SPACE + word
         forward = [0.0] + [-np.inf] * len(text)
         for j in range(1, len(text) + 1):
-            terms = [forward[i] + self.log[k] for i in range(max(0, j - self.longest), j) if (k := self.index.get(text[i:j])) is not None]
-            if text[j - 1] not in self.index:
-                terms.append(forward[j - 1] + self.byte * len(text[j - 1].encode()))
-            forward[j] = float(np.logaddexp.reduce(terms)) if terms else -np.inf
+            terms = [forward[i] + log for i, _, log in self._ending(text, j)]
+            forward[j] = _log_sum(terms)
         return forward[-1]
 
+    def _expect_long(self, text: str, weight: float, uses: np.ndarray) -> float:
+        """Adds one long text's expected uses of pieces to `uses`; its expected bytes."""
+        size, used_bytes = len(text), 0.0
+        forward, backward = [0.0] + [-math.inf] * size, [-math.inf] * size + [0.0]
+        for j in range(1, size + 1):
+            forward[j] = _log_sum([forward[i] + log for i, _, log in self._ending(text, j)])
+        if forward[-1] == -math.inf:
+            return 0.0
+        # All edges out of a place have been met when it is reached from the end.
+        after: dict[int, list[float]] = {}
+        for j in range(size, 0, -1):
+            if j < size:
+                backward[j] = _log_sum(after.pop(j, []))
+            if backward[j] == -math.inf:
+                continue
+            for i, k, log in self._ending(text, j):
+                after.setdefault(i, []).append(log + backward[j])
+                p = weight * math.exp(min(0.0, forward[i] + log + backward[j] - forward[-1]))
+                if k >= 0:
+                    uses[k] += p
+                else:
+                    used_bytes += p * len(text[j - 1].encode())
+        return used_bytes
+
     def _edges(self, texts: list[str]):
         """Edges of words of one length: (start, end, piece or -1 for bytes, log probability) with an entry for each word."""
         n, size = len(texts), len(texts[0])
@@ -124,7 +159,7 @@ class Lattice:
         return out
 
     def expect(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, float]:
-        """Expected uses of each piece and of bytes in all segmentations of the words.  (Long words only count as bytes.)"""
+        """Expected uses of each piece and of bytes in all segmentations of the words."""
         uses, used_bytes = np.zeros(len(self.pieces)), 0.0
         by_size: dict[int, list[int]] = {}
         for k, w in enumerate(words):
@@ -133,7 +168,7 @@ class Lattice:
             texts = [SPACE + words[k] for k in ks]
             weight = np.asarray(counts[ks], float)
             if size > _VECTOR:
-                used_bytes += float(sum(len(t.encode()) * c for t, c in zip(texts, weight)))
+                used_bytes += sum(self._expect_long(t, float(c), uses) for t, c in zip(texts, weight))
                 continue
             edges = list(self._edges(texts))
             forward = self._forward(texts, edges)

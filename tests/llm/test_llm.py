@@ -66,6 +66,22 @@ def test_lattice_sums_all_segmentations():
     assert np.isfinite(m.words(["漢"])[0]) and abs(m.words(["漢"])[0] - m.word("漢")) < 1e-9
 
 
+def test_lattice_expects_pieces_of_long_words(monkeypatch):
+    import numpy as np
+
+    m = lattice.Lattice(["▁", "a", "b", "ab", "▁a", "▁ab"], np.array([1.0, 2, 3, 4, 5, 6]), 1.0, 1.0)
+    n = np.array([2, 3])
+    short = ["ab漢ba", "abba漢"]
+    want, want_bytes = m.expect(short, n)
+    monkeypatch.setattr(lattice, "_VECTOR", 2)
+    got, got_bytes = m.expect(short, n)
+    assert np.allclose(got, want) and abs(got_bytes - want_bytes) < 1e-9 and want_bytes == 15
+    monkeypatch.undo()
+    uses, used_bytes = m.expect(["ab" * 2000], np.array([1]))
+    covered = sum(u * len(p) for u, p in zip(uses, m.pieces))
+    assert used_bytes == 0 and abs(covered - 4001) < 1e-6
+
+
 def test_lm_scores(spark):
     got = {r.doc_id: r for r in lattice.score(frame(spark), head_words=5).collect()}
     train = [words(t) for k, t in enumerate(TEXTS) if not got[k].held_out]
