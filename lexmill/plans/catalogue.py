@@ -84,6 +84,12 @@ def truncate_documents(spark, sf_dir):
     return docs(spark, sf_dir).where(~F.contains("text", F.lit("\n\n"))).select("doc_id", T.cut(doc_text(), 2000).alias("cut"))
 
 
+@query()
+def truncate_all_documents(spark, sf_dir):
+    """truncate_documents over the whole table, texts with blank lines too; tested against a brute-force version."""
+    return docs(spark, sf_dir).select("doc_id", T.cut(doc_text(), 2000).alias("cut"))
+
+
 # --- measures and cascade ------------------------------------------------------------------------------------------------
 
 
@@ -251,7 +257,7 @@ def near_dup_decisions(spark, sf_dir):
 @query()
 def lsh_near_pairs(spark, sf_dir):
     """Banded minhash candidates, verified: a subset of the exact pairs."""
-    d = docs(spark, sf_dir).where(F.length("text") >= 100)
+    d = docs(spark, sf_dir)
     pairs = dedup.lsh_candidates(d, "doc_id", "text")
     s = d.select("doc_id", dedup.shingles(doc_text()).alias("s"))
     j = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from lexmill.operators import bpe, clean, dedup, evaluate, mixture
+from lexmill.plans import catalogue
 
 
 def test_chunks():
@@ -53,3 +54,28 @@ def test_bpe():
 def test_pareto(spark):
     d = spark.createDataFrame([(32, 8.9, 6.4), (40, 8.9, 6.4), (50, 9.2, 6.0)], "v int, a double, b double")
     assert sorted(r.v for r in evaluate.pareto_front(d, ["v"], ["a", "b"]).collect()) == [32, 50]
+
+
+def run(spark, path, name, texts):
+    """The rows of a query over documents of these texts, numbered from 0."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(path / "documents.parquet"))
+    return catalogue.QUERIES[name](spark, str(path)).collect()
+
+
+def test_truncation_of_all_documents(spark, tmp_path):
+    long_ = "a few words " * 300
+    texts = [long_, "short\n\ntext", None, "", long_[:1500] + "\n\n" + long_, long_[:1200] + "\n\n" + long_[:300] + "\n" + long_, long_[:500] + "\n\n" + long_, long_[:500] + "\n\n" + long_[:900] + "\n" + long_, long_[:1000] + "\n\n" + long_, long_[:999] + "\n\n" + long_, long_[:1999] + "\n\n" + long_, long_[:1997] + "\n\n\n" + long_]
+
+    def brute(t):
+        if t is None or len(t) <= 2000:
+            return t
+        head = t[:2000]
+        end = next((k for k in (head.rfind("\n\n"), head.rfind("\n")) if k >= 1000), 2000)
+        return head[:end].strip()
+
+    assert {x.doc_id: x.cut for x in run(spark, tmp_path, "truncate_all_documents", texts)} == {k: brute(t) for k, t in enumerate(texts)}
+
+
+def test_lsh_pairs_of_short_texts(spark, tmp_path):
+    texts = ["one two three four five six", "One two three four five six", "two words", "two words", "", "", None, "something else"]
+    assert {(x.a, x.b) for x in run(spark, tmp_path, "lsh_near_pairs", texts)} == {(0, 1), (2, 3)}
