@@ -409,7 +409,7 @@ def training_lines(spark, sf_dir):
 
 
 def model_of(spark, sf_dir, size: int = 400) -> bpe.Model:
-    return bpe.train(table(spark, sf_dir, "benchmark"), "text", size)
+    return bpe.train(docs(spark, sf_dir), "text", size)
 
 
 @query()
@@ -429,6 +429,12 @@ def bpe_roundtrip(spark, sf_dir):
     return d.withColumn("ok", bpe.round_trip(d, model_of(spark, sf_dir), "text")).agg(F.count("*").alias("records"), F.count(F.when(~F.col("ok"), 1)).alias("failures"))
 
 
+@query("SELECT count(*)::BIGINT AS records, 0::BIGINT AS failures FROM documents")
+def bpe_roundtrip_documents(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return d.withColumn("ok", bpe.round_trip(d, model_of(spark, sf_dir), "text")).agg(F.count("*").alias("records"), F.count(F.when(~F.col("ok"), 1)).alias("failures"))
+
+
 @query("SELECT v AS vocab_size, least(v, 400) - 256 AS merges FROM (VALUES (256), (300), (350)) t(v)")
 def nested_variants(spark, sf_dir):
     m = model_of(spark, sf_dir)

@@ -79,3 +79,11 @@ def test_truncation_of_all_documents(spark, tmp_path):
 def test_lsh_pairs_of_short_texts(spark, tmp_path):
     texts = ["one two three four five six", "One two three four five six", "two words", "two words", "", "", None, "something else"]
     assert {(x.a, x.b) for x in run(spark, tmp_path, "lsh_near_pairs", texts)} == {(0, 1), (2, 3)}
+
+
+def test_bpe_queries_train_on_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "qz qz qz")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = ["ab ab ab abab", "\x00\x07 \ufeff\u2028\U0001f600 \u4e2d", "x1 " * 5000, "", None]
+    assert run(spark, tmp_path, "bpe_first_merges", texts)[0][1:] == ("20", "78")
+    got = catalogue.QUERIES["bpe_roundtrip_documents"](spark, str(tmp_path)).first()
+    assert (got.records, got.failures) == (5, 0)
