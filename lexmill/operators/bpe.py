@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
@@ -172,11 +173,12 @@ def merge_loop(counts: dict[str, int], size: int, min_frequency: int = 2, max_to
     split = [[ids[bytes([b])] for b in w.encode()] for w in texts]
     weight = [counts[w] for w in texts]
     totals: Counter = Counter()
-    holders: dict[tuple[int, int], set[int]] = defaultdict(set)
+    # A word may be listed twice, or no longer hold the pair: meeting it then changes nothing.
+    holders: dict[tuple[int, int], array] = defaultdict(lambda: array("i"))
     for k, parts in enumerate(split):
         for pair in zip(parts, parts[1:]):
             totals[pair] += weight[k]
-            holders[pair].add(k)
+            holders[pair].append(k)
     heap = [(-n, pair) for pair, n in totals.items()]
     heapq.heapify(heap)
     merges: list[tuple[bytes, bytes]] = []
@@ -212,7 +214,8 @@ def merge_loop(counts: dict[str, int], size: int, min_frequency: int = 2, max_to
             split[k] = out
             for now in zip(out, out[1:]):
                 totals[now] += weight[k]
-                holders[now].add(k)
+                if new in now:
+                    holders[now].append(k)
                 changed.add(now)
         for p in changed:
             if totals[p] > 0:
@@ -228,7 +231,9 @@ def train(df: DataFrame, text: str, size: int, style: str = "cased", min_frequen
     rows = counted.limit(most_pretokens + 1).toArrow()
     if rows.num_rows > most_pretokens:
         raise ValueError(f"more than {most_pretokens} distinct pre-tokens; raise min_frequency by filtering, or the bound")
-    model = merge_loop(dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())), size, min_frequency, max_token_length, style)
+    counts = dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+    del rows
+    model = merge_loop(counts, size, min_frequency, max_token_length, style)
     if strict and len(model.vocab) < size:
         raise ValueError(f"only {len(model.vocab)} tokens could be learned")
     return model
