@@ -101,7 +101,7 @@ ORACLES = {
     "op1_line_dedup": r"""
 WITH lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
 worded AS (SELECT doc_id, k, line, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM lines),
-tokens AS (SELECT doc_id, k, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM worded WHERE len(w) >= 5),
+tokens AS (SELECT doc_id, k, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM worded WHERE len(w) > 0),
 classes AS (SELECT s, row_number() OVER () AS c, min(doc_id * 1000000 + k) AS f FROM tokens GROUP BY s),
 parts AS (SELECT c, f, len(s) AS n, unnest(s) AS t FROM classes),
 pairs AS (SELECT a.c AS a, b.c AS b, a.f AS fa, b.f AS fb, a.n AS na, b.n AS nb, count(*) AS o FROM parts a JOIN parts b ON a.t = b.t AND a.f < b.f GROUP BY ALL),
