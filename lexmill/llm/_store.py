@@ -4,34 +4,76 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What is broadcast at most, in bytes of a hash table; larger tables are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset, on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="lexmill-"))
     return f"file://{_own[0]}"
 
 
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go when it ends, not when the driver next collects garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def _files(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df under the shared folder and read it back.
 
-    A lost executor then costs a re-read, never a recomputation of everything before.  The files go when the
-    session ends.
+    A lost executor then costs a re-read, never a recomputation of everything before.  The files go with release(), or
+    else when the session ends; the shuffle files of the query that wrote them go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_go(spark):
+        df.write.parquet(path)
+    files, jvm_path = _files(spark, path)
+    files.deleteOnExit(jvm_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of materialized tables that nothing reads any more; other tables are left alone."""
+    for table in tables:
+        path = getattr(table, "_stage", None)
+        if path:
+            files, jvm_path = _files(table.sparkSession, path)
+            files.delete(jvm_path, True)
+            table._stage = None
+
+
+def small(table: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """A materialized table, broadcast if its rows, of row_bytes each in a hash table, are few enough."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
 
 
 def without(df: DataFrame, names) -> DataFrame:
