@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import materialize, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,10 +28,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = materialize(
+        before, edges = edges, materialize(
             large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
             .unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         )
+        release(before)
         if (now := _state(edges)) == state:
             break
         state = now

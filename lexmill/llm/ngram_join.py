@@ -28,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._store import materialize
+from ._store import materialize, release, small
 from ._words import mix, shingle_sets, signed
 
 #: Counters of the commonness array (1 MiB of 32-bit counters in each task).
 WIDTH = 1 << 18
 _SLICES = 64
-#: Identifiers broadcast at most when whole sets are fetched (32 MB); beyond it the sets are joined by shuffle.
-BROADCAST_IDS = 4_000_000
+#: Bits of the array that says which whole sets may be wanted (8 MiB); the fuller it is, the more sets are moved in vain.
+MARKS = 1 << 26
+#: A column of more rows is dealt to blocks of about as many.
+HOT_ROWS = 1_000_000
 _ROWS_OUT = 200_000
 
 
@@ -90,11 +92,11 @@ class Bounds:
 
 def _scan(shingle: int):
     """Per document its key, set size and signature; at the end of a task the counters of its columns."""
-    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("parity", pa.list_(pa.int64())), ("slice", pa.int32()), ("counts", pa.binary())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(WIDTH, np.int64)
+        counts, schema = np.zeros(WIDTH, np.int64), None
         for batch in batches:
+            key = batch.column(0).type
+            schema = pa.schema([("kind", pa.int8()), ("key", key), ("n", pa.int64()), ("sig", pa.int64()), ("parity", pa.list_(pa.int64())), ("slice", pa.int32()), ("counts", pa.binary())])
             sizes, signatures, parity, parts = [], [], [], []
             for _, found in shingle_sets(batch.column(1), shingle):
                 sizes.append(len(found))
@@ -111,7 +113,7 @@ def _scan(shingle: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(signatures, pa.int64()), maps, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if counts.any():
             rows = [np.minimum(c, 2**31 - 1).astype("<i4").tobytes() for c in np.split(counts, _SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(_SLICES, np.int8)), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.list_(pa.int64())), pa.array(np.arange(_SLICES, dtype=np.int32)), pa.array(rows)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(_SLICES, np.int8)), pa.nulls(_SLICES, key), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.list_(pa.int64())), pa.array(np.arange(_SLICES, dtype=np.int32)), pa.array(rows)], schema=schema)
 
     return run
 
@@ -195,17 +197,46 @@ def _columns(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns with at least two distinct rows; a column of one row gives no product."""
-    for h, cid, np_ in _columns(batches, 3):
+    """Columns with at least two distinct rows; a column of one row gives no product.  Only one row is held back."""
+    held, met = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, cid, np_ = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in range(3))
+        if held is not None:
+            h, cid, np_ = (np.concatenate((x, y)) for x, y in zip(held, (h, cid, np_)))
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (cid[1:] != cid[:-1])
         h, cid, np_ = h[fresh], cid[fresh], np_[fresh]
         same = h[1:] == h[:-1]
         keep = np.zeros(len(h), bool)
+        keep[0] = met
         keep[1:] |= same
         keep[:-1] |= same
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, cid, np_)], names=["h", "cid", "np"])
+        held, met = (h[-1:], cid[-1:], np_[-1:]), bool(keep[-1])
+        if keep[:-1].any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep[:-1]]) for x in (h, cid, np_)], names=["h", "cid", "np"])
+    if met:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["h", "cid", "np"])
+
+
+def _dealt(shared: DataFrame, hot: DataFrame | None, pairs: bool) -> DataFrame:
+    """shared with the rows of hot columns dealt to blocks; h names a block then.
+
+    With pairs, a row goes to all pairs of its block with another, so that any two rows of the column meet.  Otherwise to
+    its own block only.  Blocks whose names collide, and rows that meet twice, only raise counts: more is verified.
+    """
+    if hot is None:
+        return shared
+    named = shared.join(F.broadcast(hot), "h", "left")
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
+    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    if pairs:
+        named = named.select("*", other.alias("other"))
+        block = F.xxhash64("h", F.least(own, "other"), F.greatest(own, "other"))
+    else:
+        block = F.xxhash64("h", own)
+    return named.withColumn("h", F.when(F.col("blocks").isNull(), F.col("h")).otherwise(block)).select(*shared.columns)
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("pa", pa.int64()), ("pb", pa.int64()), ("c", pa.int64())])
@@ -310,18 +341,48 @@ def _plausible(pairs: DataFrame, maps: DataFrame, bounds: Bounds) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(differ <= F.col("na") + F.col("nb") - 2 * need).select("a", "b", "na", "nb")
 
 
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of a bit array of fixed size, with a bit set for each row."""
+    marked = None
+    for batch in batches:
+        marked = np.zeros(MARKS, bool) if marked is None else marked
+        marked[np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64) & (MARKS - 1)] = True
+    if marked is not None:
+        rows = [np.packbits(x).tobytes() for x in np.split(marked, _SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_SLICES, dtype=np.int32)), pa.array(rows)], names=["slice", "bits"])
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            part = np.frombuffer(raw, np.uint8)
+            found[k] = found[k] | part if k in found else part
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()])], names=["slice", "bits"])
+
+
+def _marks(ids: DataFrame) -> np.ndarray:
+    """The bit array of ids, MARKS bits however many there are; _SLICES rows reach the driver."""
+    slices = ids.coalesce(16).mapInArrow(_mark, "slice int, bits binary").repartition(16, "slice").mapInArrow(_either, "slice int, bits binary")
+    bits = np.zeros((_SLICES, MARKS // _SLICES // 8), np.uint8)
+    for k, raw in slices.collect():
+        bits[k] = np.frombuffer(raw, np.uint8)
+    return bits.ravel()
+
+
 def _fetch(shingle: int, wanted):
     schema = pa.schema([("cid", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = None if wanted is None else wanted.value
-        seen = set()
+        bits, seen = wanted.value, set()
         for batch in batches:
             names, sets, size = [], [], 0
             for _, found in shingle_sets(batch.column(0), shingle):
                 if not len(found) or (sig := _signature(found)) in seen:
                     continue
-                if ids is not None and ((at := int(np.searchsorted(ids, sig))) == len(ids) or ids[at] != sig):
+                at = sig & (MARKS - 1)
+                if not bits[at >> 3] >> (7 - (at & 7)) & 1:
                     continue
                 seen.add(sig)
                 names.append(sig)
@@ -358,16 +419,14 @@ def _verify(bounds: Bounds):
 
 def _links(docs: DataFrame, pairs: DataFrame, shingle: int, bounds: Bounds) -> DataFrame:
     """The pairs whose whole sets are similar enough: (a, b, overlap, na, nb)."""
-    spark = docs.sparkSession
     ids = materialize(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct())
-    if ids.count() <= BROADCAST_IDS:
-        wanted = np.sort(np.asarray(ids.toArrow().column(0).to_numpy(), np.int64))
-        sets = docs.mapInArrow(_fetch(shingle, spark.sparkContext.broadcast(wanted)), "cid long, shingles binary")
-    else:
-        sets = docs.mapInArrow(_fetch(shingle, None), "cid long, shingles binary").join(ids, "cid", "left_semi")
-    sets = materialize(sets.dropDuplicates(["cid"]))
+    wanted = docs.sparkSession.sparkContext.broadcast(_marks(ids))
+    sets = materialize(docs.mapInArrow(_fetch(shingle, wanted), "cid long, shingles binary").dropDuplicates(["cid"]))
     joined = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
-    return materialize(joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(_verify(bounds), "a long, b long, overlap long, na long, nb long"))
+    links = materialize(joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(_verify(bounds), "a long, b long, overlap long, na long, nb long"))
+    release(ids, sets)
+    wanted.destroy()
+    return links
 
 
 def similar_documents(df: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 5, similarity: float = 0.75) -> DataFrame:
@@ -378,29 +437,34 @@ def similar_documents(df: DataFrame, text: str = "text", id: str = "doc_id", shi
     rows link when their sets' Jaccard similarity is at least `similarity`; equal sets always link.  Result columns:
     n_shingles (long), component_id (least non-null id that links reach; null if all ids reached are null; the row's
     own id for an empty set).  Ids may repeat or be null: repeated rows get equal results.  Other columns
-    of df aren't carried along: the result has id, n_shingles and
-    component_id, one row for each row of df.  No rows give no rows.
+    of df aren't carried along: the result has id, n_shingles and component_id, one row for each row of df, whatever other
+    columns are named.  Texts may be of any length.  No rows give no rows.
     """
     bounds = Bounds(similarity)
     spark = df.sparkSession
     texts = df.select(F.col(text).cast("string").alias("t"))
-    key = F.col(id).cast("long")
-    scanned = materialize(df.select(key.alias("key"), F.col(text).cast("string").alias("t")).mapInArrow(_scan(shingle), "kind byte, key long, n long, sig long, parity array<long>, slice int, counts binary"))
+    scanned = materialize(df.select(F.col(id).alias("key"), F.col(text).cast("string").alias("t")).mapInArrow(_scan(shingle), f"kind byte, key {df.schema[id].dataType.simpleString()}, n long, sig long, parity array<long>, slice int, counts binary"))
     counters = spark.sparkContext.broadcast(_counters(scanned))
     rows = scanned.where("kind = 0").select("key", "n", "sig")
 
     shared = materialize(texts.mapInArrow(_leading(shingle, bounds, counters), "h long, cid long, np long").repartition("h").sortWithinPartitions("h", "np", "cid").mapInArrow(_shared, "h long, cid long, np long"))
-    by_column = shared.repartition("h").sortWithinPartitions("h", "np", "cid")
+    counters.destroy()
+    hot = materialize(shared.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("h", F.ceil(F.col("n") / HOT_ROWS).cast("long").alias("blocks")))
+    dealt = None if hot.isEmpty() else hot
+    by_column = _dealt(shared, dealt, False).repartition("h").sortWithinPartitions("h", "np", "cid")
     maps = materialize(scanned.where("kind = 0 and n > 0").select("sig", "parity").dropDuplicates(["sig"]))
     first = materialize(_plausible(_added(by_column.mapInArrow(_star(bounds), PAIRS), bounds), maps, bounds))
     links = _links(texts, first, shingle, bounds)
     roots = components(links)
-    rest = shared.join(roots, F.col("cid") == F.col("node"), "left").select("h", "cid", "np", F.coalesce("root", "cid").alias("root")).repartition("h").sortWithinPartitions("h")
+    rest = shared.join(roots, F.col("cid") == F.col("node"), "left").select("h", "cid", "np", F.coalesce("root", "cid").alias("root"))
+    rest = _dealt(rest, dealt, True).repartition("h").sortWithinPartitions("h")
     second = _added(rest.mapInArrow(_rest(bounds), PAIRS), bounds).join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = materialize(_plausible(second, maps, bounds))
+    release(shared, maps, first, hot)
     if not second.isEmpty():
         links = links.unionByName(_links(texts, second, shingle, bounds))
         roots = components(links)
+    release(second)
 
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("key").alias("least"))
     classes = materialize(classes.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root")))
@@ -418,7 +482,5 @@ def keep_one(df: DataFrame, text: str = "text", id: str = "doc_id", shingle: int
     always stay.
     """
     classes = similar_documents(df, text, id, shingle, similarity)
-    gone = materialize(classes.where(F.col("component_id") != F.col(id)).select(F.col(id).cast("long").alias("__gone")).distinct())
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return df.join(gone, F.col(id).cast("long") == F.col("__gone"), "left_anti")
+    gone = materialize(classes.where(F.col("component_id") != F.col(id)).select(F.col(id).alias("__gone")).distinct())
+    return df.join(small(gone), F.col(id) == F.col("__gone"), "left_anti")

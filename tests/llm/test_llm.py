@@ -48,6 +48,17 @@ def test_ngram_join(spark):
     assert ngram_join.similar_documents(frame(spark, [])).count() == 0
 
 
+def test_ngram_join_of_dealt_columns_and_other_ids(spark, monkeypatch):
+    more = [" ".join(f"w{k}" if k != j else f"z{j}" for k in range(60)) for j in range(0, 60, 3)] + [f"{LONG} " + " ".join(f"q{j}_{k}" for k in range(25)) for j in range(12)]
+    texts, want = TEXTS + more, brute_components(TEXTS + more)
+    named = frame(spark, texts).withColumn("doc_id", F.format_string("d%03d", "doc_id")).withColumn("component_id", F.lit("x"))
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(named).collect()}
+    assert got == {f"d{k:03}": (n, f"d{c:03}") for k, (n, c) in want.items()}
+    kept = ngram_join.keep_one(named)
+    assert {r.doc_id for r in kept.collect()} == {f"d{k:03}" for k, (_, c) in want.items() if k == c} and kept.columns == named.columns
+
+
 def test_decontamination(spark):
     items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20, 32))), (2, "two"), (3, None), (4, "")], "item_id long, text string")
     for block in (1_000_000, 3):
