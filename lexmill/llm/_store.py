@@ -44,8 +44,8 @@ def _files(spark: SparkSession, path: str):
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df under the shared folder and read it back.
+def materialize(df: DataFrame, *hashes: str) -> DataFrame:
+    """Write df under the shared folder and read it back.  Columns of hashes (Parquet paths) are written without a dictionary.
 
     A lost executor then costs a re-read, never a recomputation of everything before.  The files go with release(), or
     else when the session ends; the shuffle files of the query that wrote them go at once.
@@ -53,7 +53,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     with _shuffles_go(spark):
-        df.write.parquet(path)
+        df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in hashes}).parquet(path)
     files, jvm_path = _files(spark, path)
     files.deleteOnExit(jvm_path)
     out = spark.read.schema(df.schema).parquet(path)
