@@ -551,7 +551,11 @@ def detokenize(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.detokenize(F.split("text", r"\s+")).alias("text"))
 
 
-@query("SELECT doc_id, (sum(strlen(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - strlen(text) - 2)::BIGINT // 20000 AS shard FROM documents")
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 2 AS b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+f AS (SELECT doc_id, source, n, b AS held, 0::BIGINT AS shard FROM d WHERE n = 1
+UNION ALL SELECT d.doc_id, d.source, d.n, CASE WHEN held >= 20000 THEN d.b ELSE held + d.b END, shard + (held >= 20000)::BIGINT FROM f JOIN d ON d.source IS NOT DISTINCT FROM f.source AND d.n = f.n + 1)
+SELECT doc_id, shard FROM f""")
 def shard_numbers(spark, sf_dir):
     d = sinks.shard_numbers(sized(spark, sf_dir), "source", F.col("bytes"), [F.col("doc_id")], 20_000)
     return d.select("doc_id", F.col("shard").cast("long").alias("shard"))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import detokenize
 
@@ -30,14 +31,17 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
 
 
 def hub_rows(df: DataFrame, source_id: str, text_field: str = "text", id_field: str | None = "id", url_field: str | None = None, metadata_fields: tuple[str, ...] = (), seq: Column | None = None) -> DataFrame:
-    """Rows with a text.  An id that is missing, empty or 0 becomes the row's number among all rows, in 12 digits."""
+    """Rows with a text.  An id that is missing, empty, the number 0 or false (not the text "0") becomes the row's number among all rows, in 12 digits."""
     d = df.withColumn("seq", seq.cast("long")) if seq is not None else numbered(df)
-    id = F.col(id_field).cast("string") if id_field and id_field in df.columns else F.lit(None).cast("string")
+    id = F.col(id_field) if id_field and id_field in df.columns else F.lit(None).cast("string")
+    kind = df.schema[id_field].dataType if id_field and id_field in df.columns else T.StringType()
+    missing = id.isNull() | (~id if isinstance(kind, T.BooleanType) else id == 0 if isinstance(kind, T.NumericType) else id.cast("string") == "")
+    id = id.cast("string")
     known = [f for f in metadata_fields if f in df.columns]
     pairs = F.map_filter(F.create_map(*[x for f in known for x in (F.lit(f), F.col(f).cast("string"))]), lambda k, v: v.isNotNull()) if known else F.create_map().cast("map<string,string>")
     url = F.when(F.col(url_field) != "", F.col(url_field)) if url_field and url_field in df.columns else F.lit(None).cast("string")
     rows = d.where(F.col(text_field).isNotNull() & (F.col(text_field) != ""))
-    return rows.select(F.lit(source_id).alias("source_id"), "seq", F.when(id.isNull() | id.isin("", "0", "false"), F.lpad(F.col("seq").cast("string"), 12, "0")).otherwise(id).alias("upstream_id"), F.col(text_field).alias("text"), url.alias("url"), pairs.alias("metadata"))
+    return rows.select(F.lit(source_id).alias("source_id"), "seq", F.when(missing, F.lpad(F.col("seq").cast("string"), 12, "0")).otherwise(id).alias("upstream_id"), F.col(text_field).alias("text"), url.alias("url"), pairs.alias("metadata"))
 
 
 def seeded_shuffle(df: DataFrame, seed: int, *key: str) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.dedup import bottom_k
 from .readers import file_digests
@@ -21,9 +24,41 @@ def write_splits(df: DataFrame, path: str, split: str = "split", text: str = "te
 
 
 def shard_numbers(df: DataFrame, split: str, size: Column, order: list[Column], most: int = 64 << 20) -> DataFrame:
-    """df with shard: texts and two line feeds fill shards of about `most` bytes; a text goes where its first byte falls."""
-    upto = F.sum(size + 2).over(Window.partitionBy(split).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("shard", F.floor((upto - size - 2) / most).cast("int"))
+    """df with shard: a split's texts, each with two line feeds, in order; a shard that has `most` bytes or more is closed.
+
+    A null size counts as 0.  The next shard starts from 0 bytes again, so that its start depends on all rows before: a
+    split is one task, which streams over sorted rows and holds a counter only.
+    """
+    work = df.withColumn("__size", (F.coalesce(size, F.lit(0)) + 2).cast("long")).repartition(split).sortWithinPartitions(split, *order)
+    kept = [f for f in df.schema.fields if f.name != "shard"]
+    names = [f.name for f in kept]
+
+    def run(batches):
+        current, shard, held = object(), 0, 0
+        for batch in batches:
+            splits, sizes = batch.column("split").to_pylist(), batch.column("size").to_numpy(zero_copy_only=False)
+            out, i = np.zeros(len(sizes), np.int32), 0
+            while i < len(sizes):
+                if splits[i] != current:
+                    current, shard, held = splits[i], 0, 0
+                j = i + 1
+                while j < len(sizes) and splits[j] == current:
+                    j += 1
+                total = np.cumsum(sizes[i:j])
+                done, at = 0, 0
+                while at < j - i:
+                    if held >= most:
+                        shard, held = shard + 1, 0
+                    last = int(np.searchsorted(total, done + most - held))
+                    upto = min(last + 1, j - i)
+                    out[i + at : i + upto] = shard
+                    held += int(total[upto - 1]) - done
+                    at, done = upto, int(total[upto - 1])
+                i = j
+            yield pa.RecordBatch.from_arrays([*[batch.column(f"c{k}") for k in range(len(names))], pa.array(out)], names=[*names, "shard"])
+
+    passed = work.select(*[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)], F.col(split).alias("split"), F.col("__size").alias("size"))
+    return passed.mapInArrow(run, T.StructType([*kept, T.StructField("shard", T.IntegerType())]))
 
 
 def manifest(spark: SparkSession, path: str) -> list[dict]:

@@ -59,7 +59,7 @@ def test_hub_rows_and_lines(spark, tmp_path):
     rows = [("a", "t0", "u"), (None, "t1", ""), ("0", "t2", None), ("b", "", "u"), ("c", None, "u")]
     spark.createDataFrame(rows, "id string, text string, url string").coalesce(1).write.parquet(str(tmp_path / "p"))
     got = readers.open_source(spark, "parquet", path=str(tmp_path / "p"), source_id="s", url_field="url", metadata_fields=("id", "absent")).orderBy("seq").collect()
-    assert [(r.upstream_id, r.url) for r in got] == [("a", "u"), ("000000000001", None), ("000000000002", None)] and got[0].metadata == {"id": "a"} and got[1].metadata == {}
+    assert [(r.upstream_id, r.url) for r in got] == [("a", "u"), ("000000000001", None), ("0", None)] and got[0].metadata == {"id": "a"} and got[1].metadata == {}
     with gzip.open(tmp_path / "x.txt.gz", "wt") as f:
         f.write(" one \n\n  \ntwo\n")
     assert [r.text for r in readers.text_lines(spark, str(tmp_path / "x.txt.gz")).collect()] == ["one", "two"]
@@ -78,6 +78,15 @@ def test_splits_and_shards(spark, tmp_path):
     assert "".join(lines) == "c\n\n"
     shards = sinks.shard_numbers(d, "split", F.octet_length("text"), [F.col("text")], most=6).orderBy("split", "text").collect()
     assert [r.shard for r in shards] == [0, 1, 0]
+    # Each shard counts from 0 bytes again; splits keep apart, nulls included.
+    sizes = [("a", k, n) for k, n in enumerate((150, 30, 30, 30, 400, 1, 1))] + [(None, k, 90) for k in range(4)]
+    d = spark.createDataFrame(sizes, "split string, k long, size long")
+    got = [r.shard for r in sinks.shard_numbers(d, "split", F.col("size") - 2, [F.col("k")], most=100).orderBy(F.col("split").desc_nulls_last(), "k").collect()]
+    assert got == [0, 1, 1, 1, 1, 2, 2] + [0, 0, 1, 1]
+    assert sinks.shard_numbers(d.limit(0), "split", F.col("size"), [F.col("k")]).count() == 0
+    for kind, zero, want in (("long", 0, "000000000007"), ("double", 1.5, "1.5"), ("boolean", False, "000000000007"), ("string", "false", "false")):
+        one = spark.createDataFrame([(zero, "t")], f"id {kind}, text string")
+        assert readers.hub_rows(one, "s", seq=F.lit(7)).first().upstream_id == want
     assert {r["path"] for r in sinks.manifest(spark, str(tmp_path / "out/text/split=validation"))}
 
 
