@@ -75,12 +75,12 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
 
 
-def raw_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, bytes, offsets) of runs of whole texts of at most `most` bytes, or of one longer text."""
+def raw_blocks(column: pa.Array, most: int = BLOCK_BYTES, most_rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, bytes, offsets) of runs of whole texts of at most `most` bytes and rows, or of one longer text."""
     offsets, data = _buffers(column)
     a, n = 0, len(offsets) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        b = max(a + 1, min(a + most_rows, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1))
         yield a, b - a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
 

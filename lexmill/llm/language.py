@@ -37,7 +37,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 def features(column: pa.Array):
     """(first row, matrix): a unit vector, or zeros, for each text of a block."""
-    for first, rows, data, offsets in raw_blocks(column, 1 << 19):
+    for first, rows, data, offsets in raw_blocks(column, 1 << 19, 1 << 10):
         b = _LOWER[data]
         out = np.zeros((rows, WIDTH), np.float32)
         row = np.repeat(np.arange(rows), np.diff(offsets))

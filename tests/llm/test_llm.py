@@ -176,6 +176,27 @@ def test_language(spark):
     assert language.identify(frame(spark, ["x"]), language.fit(d.limit(0))).first().lang_pred == "und"
 
 
+def test_language_features_equal_brute_force():
+    import numpy as np
+
+    texts = ["The Cat", "", None, "ß漢", "ab ab ab", "x"] + [""] * 5000
+    rows = 0
+    for first, matrix in language.features(pa.array(texts)):
+        assert first == rows and len(matrix) <= 1024
+        for t, got in zip(texts[first : first + len(matrix)], matrix):
+            want = np.zeros(language.WIDTH)
+            b = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode()
+            for n in (2, 3):
+                for i in range(len(b) - n + 1):
+                    h = n
+                    for x in b[i : i + n]:
+                        h = (h * 0x01000193 + x) % (1 << 32)
+                    want[(h * 0x9E3779B1) % (1 << 32) >> 20] += 1
+            assert np.allclose(got, np.sqrt(want / max(want.sum(), 1)), atol=1e-6)
+        rows += len(matrix)
+    assert rows == len(texts)
+
+
 def test_html():
     page = "<html><body><nav><a href=x>menu</a></nav><div class=ad>buy</div><article><h1>T &amp; U</h1><p>first\n  block of text<br>more<p>second one</article><div id='comments'><p>so nice a comment, I say</div><footer>(c)</footer>"
     assert html_text.extract(page) == "T & U\n\nfirst block of text more\n\nsecond one"
