@@ -418,13 +418,16 @@ def _verify(bounds: Bounds):
 
 
 def _links(docs: DataFrame, pairs: DataFrame, shingle: int, bounds: Bounds) -> DataFrame:
-    """The pairs whose whole sets are similar enough: (a, b, overlap, na, nb)."""
-    ids = materialize(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct())
-    wanted = docs.sparkSession.sparkContext.broadcast(_marks(ids))
-    sets = materialize(docs.mapInArrow(_fetch(shingle, wanted), "cid long, shingles binary").dropDuplicates(["cid"]))
+    """The pairs whose whole sets are similar enough: (a, b, overlap, na, nb).
+
+    Whole sets are by far the heaviest rows here.  They are exchanged once, by their name, which is what both joins
+    need (the second one reuses the exchange); but for that only the set of a pair's first row moves, once for each pair.
+    """
+    marks = _marks(pairs.select(F.explode(F.array("a", "b")).alias("cid")))
+    wanted = docs.sparkSession.sparkContext.broadcast(marks)
+    sets = docs.mapInArrow(_fetch(shingle, wanted), "cid long, shingles binary").dropDuplicates(["cid"])
     joined = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
     links = materialize(joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(_verify(bounds), "a long, b long, overlap long, na long, nb long"))
-    release(ids, sets)
     wanted.destroy()
     return links
 
