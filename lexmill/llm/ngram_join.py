@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,10 @@ MARKS = 1 << 26
 #: A column of more rows is dealt to blocks of about as many.
 HOT_ROWS = 1_000_000
 _ROWS_OUT = 200_000
+#: Shingles of the pairs verified in one round, as a share of the shingles of all rows.
+ROUND_SHARE = 0.5
+#: A row of more pairs gets copies of its set (more pairs where there are more than a thousand times as many in all).
+LEAST_HUB = 64
 
 
 def _signature(shingles: np.ndarray) -> int:
@@ -371,13 +376,18 @@ def _marks(ids: DataFrame) -> np.ndarray:
     return bits.ravel()
 
 
-def _fetch(shingle: int, wanted):
-    schema = pa.schema([("cid", pa.int64()), ("shingles", pa.binary())])
+def _fetch(shingle: int, wanted, copies: dict[int, int]):
+    """Whole sets of the rows that are marked, each once a task but for those of many pairs: these once for each of their copies."""
+    schema = pa.schema([("cid", pa.int64()), ("copy", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = wanted.value, set()
+
+        def pack():
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(numbers, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
+
         for batch in batches:
-            names, sets, size = [], [], 0
+            names, numbers, sets, size = [], [], [], 0
             for _, found in shingle_sets(batch.column(0), shingle):
                 if not len(found) or (sig := _signature(found)) in seen:
                     continue
@@ -385,13 +395,16 @@ def _fetch(shingle: int, wanted):
                 if not bits[at >> 3] >> (7 - (at & 7)) & 1:
                     continue
                 seen.add(sig)
-                names.append(sig)
-                sets.append(found.tobytes())
-                if (size := size + len(sets[-1])) > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
-                    names, sets, size = [], [], 0
+                raw = found.tobytes()
+                for copy in range(copies.get(sig, 1)):
+                    names.append(sig)
+                    numbers.append(copy)
+                    sets.append(raw)
+                    if (size := size + len(raw)) > 8 << 20:
+                        yield pack()
+                        names, numbers, sets, size = [], [], [], 0
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
+                yield pack()
 
     return run
 
@@ -417,19 +430,35 @@ def _verify(bounds: Bounds):
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, shingle: int, bounds: Bounds) -> DataFrame:
-    """The pairs whose whole sets are similar enough: (a, b, overlap, na, nb).
+def _links(docs: DataFrame, pairs: DataFrame, shingle: int, bounds: Bounds, total: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough: (a, b, overlap, na, nb).  total: shingles of all rows.
 
     Whole sets are by far the heaviest rows here.  They are exchanged once, by their name, which is what both joins
     need (the second one reuses the exchange); but for that only the set of a pair's first row moves, once for each pair.
+    Pairs are verified in as many rounds as keep what moves in one below ROUND_SHARE of the corpus, however many pairs
+    there are; a round's shuffle files go with it.  A row of many pairs (a hub) gets copies of its set, and its pairs are
+    dealt to them; the rows that count as such are at most 2000, as their least number of pairs grows with all pairs.
     """
-    marks = _marks(pairs.select(F.explode(F.array("a", "b")).alias("cid")))
-    wanted = docs.sparkSession.sparkContext.broadcast(marks)
-    sets = docs.mapInArrow(_fetch(shingle, wanted), "cid long, shingles binary").dropDuplicates(["cid"])
-    joined = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
-    links = materialize(joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(_verify(bounds), "a long, b long, overlap long, na long, nb long"))
-    wanted.destroy()
-    return links
+    spark = docs.sparkSession
+    count, moved = pairs.agg(F.count("*"), F.sum(F.col("na") + F.col("nb"))).first()
+    limit = max(LEAST_HUB, count // 1000)
+    hubs = materialize(pairs.select(F.explode(F.array("a", "b")).alias("hub")).groupBy("hub").agg(F.ceil(F.count("*") / limit).cast("long").alias("copies")).where("copies > 1"))
+    copies = {hub: k for hub, k in hubs.collect()}
+    for side, other in (("a", "b"), ("b", "a")):
+        mine = F.broadcast(hubs).select(F.col("hub").alias(side), F.col("copies").alias("k"))
+        pairs = pairs.join(mine, side, "left").withColumn(f"copy_{side}", F.pmod(F.xxhash64(other), F.coalesce("k", F.lit(1)))).drop("k")
+    rounds = max(1, -(-(moved or 0) // max(1, int(total * ROUND_SHARE))))
+    links = []
+    for k in range(rounds):
+        part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)
+        wanted = spark.sparkContext.broadcast(_marks(part.select(F.explode(F.array("a", "b")).alias("cid"))))
+        sets = docs.mapInArrow(_fetch(shingle, wanted, copies), "cid long, copy long, shingles binary").dropDuplicates(["cid", "copy"])
+        x, y = (sets.select(F.col("cid").alias(side), F.col("copy").alias(f"copy_{side}"), F.col("shingles").alias(name)) for side, name in (("a", "x"), ("b", "y")))
+        joined = part.join(x, ["a", "copy_a"]).join(y, ["b", "copy_b"])
+        links.append(materialize(joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(_verify(bounds), "a long, b long, overlap long, na long, nb long")))
+        wanted.destroy()
+    release(hubs)
+    return reduce(DataFrame.unionByName, links)
 
 
 def similar_documents(df: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 5, similarity: float = 0.75) -> DataFrame:
@@ -457,7 +486,8 @@ def similar_documents(df: DataFrame, text: str = "text", id: str = "doc_id", shi
     by_column = _dealt(shared, dealt, False).repartition("h").sortWithinPartitions("h", "np", "cid")
     maps = materialize(scanned.where("kind = 0 and n > 0").select("sig", "parity").dropDuplicates(["sig"]))
     first = materialize(_plausible(_added(by_column.mapInArrow(_star(bounds), PAIRS), bounds), maps, bounds))
-    links = _links(texts, first, shingle, bounds)
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    links = _links(texts, first, shingle, bounds, total)
     roots = components(links)
     rest = shared.join(roots, F.col("cid") == F.col("node"), "left").select("h", "cid", "np", F.coalesce("root", "cid").alias("root"))
     rest = _dealt(rest, dealt, True).repartition("h").sortWithinPartitions("h")
@@ -465,7 +495,7 @@ def similar_documents(df: DataFrame, text: str = "text", id: str = "doc_id", shi
     second = materialize(_plausible(second, maps, bounds))
     release(shared, maps, first, hot)
     if not second.isEmpty():
-        links = links.unionByName(_links(texts, second, shingle, bounds))
+        links = links.unionByName(_links(texts, second, shingle, bounds, total))
         roots = components(links)
     release(second)
 
