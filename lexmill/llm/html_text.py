@@ -2,7 +2,7 @@
 
 The page becomes a tree (unclosed and stray tags mended), without scripts, forms, navigation and what its tag, role,
 class or id says to be menu, advert, notice, sidebar or comments; a class or id counts as a whole, and not where the
-page's only article or, without one, most of its text is.  Each node's density is its characters per tag,
+page's only article or, without one, most of its text is.  Of an article's own header the headings stay.  Each node's density is its characters per tag,
 lowered by the share of its characters and tags that are links; a node's sum is that of its children's densities, and
 the node with the largest sum holds the text, an article around it included.  The least density on the path from it to
 the body is the threshold: siblings along that path that reach it belong to the text as well, single blocks and text
@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from ._rows import add_columns
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: An attribute's name and value, if it has one; names are compared as a whole, values never searched for names.
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -76,9 +77,16 @@ def _named(tag: str, attributes: str) -> bool:
 def parse(page: str) -> Node:
     """The tree under a root; text is str, elements are Node, boilerplate nodes are there but marked gone."""
     root = Node("#root", None)
-    at, top, end, names = 0, root, len(page), False
+    at, top, end, names, titled = 0, root, len(page), False, []
+    #: How many elements of a tag are open, so that a stray end tag needs no search.
+    opened: dict[str, int] = {}
 
     def close_until(node: Node) -> Node:
+        x = top
+        while x is not node:
+            opened[x.tag] -= 1
+            x = x.parent
+        opened[node.tag] -= 1
         return node.parent or root
 
     while at < end:
@@ -93,6 +101,8 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
+            if not opened.get(tag):
+                continue
             node = top
             while node is not root and node.tag != tag and not (tag in _INLINE and node.tag not in _INLINE):
                 node = node.parent
@@ -115,7 +125,10 @@ def parse(page: str) -> Node:
                     top = close_until(top)
         elif tag == "body" and top.tag == "head":
             top = close_until(top)
-        node = Node(tag, top, top.gone or _boilerplate(tag, m[3]), _named(tag, m[3]))
+        of_article = tag == "header" and bool(opened.get("article"))
+        node = Node(tag, top, top.gone or not of_article and _boilerplate(tag, m[3]), _named(tag, m[3]))
+        if of_article and not node.gone:
+            titled.append(node)
         names |= node.named
         top.children.append(node)
         if tag in _VOID or m[3].endswith("/") and tag in ("svg", "path"):
@@ -127,12 +140,30 @@ def parse(page: str) -> Node:
             elif tag not in ("title", "textarea"):
                 at = end
             continue
+        opened[tag] = opened.get(tag, 0) + 1
         top = node
+    for node in titled:
+        node.children = _titles(node)
     if names:
         _drop_named(root)
     return root
 
 
+def _titles(header: Node) -> list[Node]:
+    """The headings in an article's header; the rest of it goes as other headers do."""
+    out, stack = [], list(reversed(header.children))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str) or x.gone:
+            continue
+        if x.tag in _HEADINGS:
+            x.parent = header
+            out.append(x)
+        else:
+            stack += reversed(x.children)
+    return out
+
+
 def _drop_named(root: Node) -> None:
     """Marks what its name says to be boilerplate as gone, but not what holds its only articles or, without any, most of its text outside links."""
     order, stack, outside = [], [(root, False)], False
@@ -284,7 +315,7 @@ def _extractor():
 def extract_text(df: DataFrame, page: str = "html") -> DataFrame:
     """df with text (string) and n_chars (long), without the page.
 
-    Null, empty and textless pages give an empty text.  Columns named like the added ones are replaced, all others stay;
+    Null, empty and textless pages give an empty text; pages may be of any length and depth, no rows give no rows.  Columns named like the added ones are replaced, all others stay;
     repeated rows get equal results.
     """
     return add_columns(df, [page], "text string, n_chars long", _extractor, drop=(page,))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import pyarrow as pa
@@ -59,6 +60,15 @@ def test_ngram_join_of_dealt_columns_and_other_ids(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {f"d{k:03}" for k, (_, c) in want.items() if k == c} and kept.columns == named.columns
 
 
+def test_ngram_join_in_rounds_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ROUND_SHARE", 0.3)
+    monkeypatch.setattr(ngram_join, "LEAST_HUB", 2)
+    rng = random.Random(5)
+    texts = [LONG.replace(f"w{k} ", f"y{k} ") for k in range(2, 40)] + [LONG] * 3 + [" ".join(rng.choices(["a", "b", "c"], k=12)) for _ in range(60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(frame(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
 def test_decontamination(spark):
     items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20, 32))), (2, "two"), (3, None), (4, "")], "item_id long, text string")
     for block in (1_000_000, 3):
@@ -242,6 +252,45 @@ def test_html_names_do_not_drop_the_text():
         assert html_text.extract(f"<body><article>{markup(a)}</article><div {name}><article>{markup(b)}</article></div></body>") == "\n\n".join(a)
 
 
+def test_html_attributes_by_name():
+    def page(inner):
+        return f"<body><article><p>{'first words of it ' * 20}</p>{inner}<p>{'last words of it ' * 20}</p></article></body>"
+
+    for inner, text in (
+        ('<p>one <a href="/path/hidden">two</a> three</p>', "one two three"),
+        ('<p>one <a href="/view?id=nav">two</a> three</p>', "one two three"),
+        ("<p>one <a href=/a?class=menu>two</a> three</p>", "one two three"),
+        ('<p title="a hidden valley">one</p>', "one"),
+        ('<div data-role="dialog" data-class="menu" aria-hidden=false>one</div>', "one"),
+    ):
+        assert html_text.extract(page(inner)).split("\n\n")[1:-1] == [text], inner
+    for inner in ("<p hidden>one</p>", '<p HIDDEN="">one</p>', "<p data-x='1'hidden>one</p>", '<div role=dialog>one</div>', '<div Class = "menu">one</div>', "<div aria-hidden='true'>one</div>", '<div style="color:red;display: none">one</div>'):
+        assert len(html_text.extract(page(inner)).split("\n\n")) == 2, inner
+
+
+def test_html_header_of_an_article():
+    words_ = "words of it " * 30
+    page = f"<body><header><h1>Site</h1></header><article><header class=top><div><h1>The title</h1><h2>Lead</h2></div><span>by me</span></header><p>{words_}</p><p>{words_}</p></article></body>"
+    assert html_text.extract(page) == "\n\n".join(["The title", "Lead", words_.strip(), words_.strip()])
+    assert html_text.extract(f"<article><header><div><h1>{words_}</h1></div></header></article>") == words_.strip()
+
+
+def test_html_deep_and_stray_tags():
+    deep = 8000
+    page = "<body>" + "<div>" * deep + "some words here" + "</section>" * deep + "</span>" * deep + " and there" + "</div>" * deep
+    began = time.perf_counter()
+    assert html_text.extract(page) == "some words here and there"
+    assert time.perf_counter() - began < 3
+
+
+def test_html_of_tables(spark):
+    rows = [(1, None, "x", 7), (2, "", "x", 7), (3, "<p>a &amp; b</p>", "x", 7), (3, "<p>a &amp; b</p>", "x", 7)]
+    made = spark.createDataFrame(rows, "page_id long, html string, text string, n_chars long")
+    got = sorted(map(tuple, html_text.extract_text(made).select("page_id", "text", "n_chars").collect()))
+    assert got == [(1, "", 0), (2, "", 0), (3, "a & b", 5), (3, "a & b", 5)]
+    assert html_text.extract_text(made.limit(0)).count() == 0
+
+
 def test_mixing(spark):
     assert mixing.plan({("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 5}, 60, epochs=1) == {("a", "x"): 10, ("a", "y"): 45, ("b", "z"): 5}
     got = mixing.mix(frame(spark), F.lit("web"), 1.0, epochs=1)
