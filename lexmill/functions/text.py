@@ -47,6 +47,11 @@ def line_feeds(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+def strip(text: Column) -> Column:
+    """text without white space at its ends, line breaks, no-break spaces and the separators U+001C to U+001F included."""
+    return F.regexp_replace(text, r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
+
+
 def squeeze_lines(text: Column) -> Column:
     """Each line stripped and its white space made single blanks; at most one blank line in a row; ends stripped."""
     lines = F.split(text, "[\n  ]")
@@ -120,7 +125,7 @@ def script_counts(text: Column) -> dict[str, Column]:
 
 def repeated_line_counts(text: Column) -> Column:
     """struct(repeated, total) of stripped lines with 20 characters or more."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda l: F.length(l) >= 20)
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda l: F.length(l) >= 20)
     return F.transform(F.array(F.array_sort(lines)), _runs)[0]
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
+from ..functions.text import strip
+
 # The two pre-tokenizer definitions.
 DIGITS = r"\p{N}{1,3}"
 CJK = r"[一-龥぀-ゟ゠-ヿ]+"
@@ -80,7 +82,7 @@ def pretoken_counts(df: DataFrame, text: str, style: str, *by: str) -> DataFrame
 def lines_with_ends(df: DataFrame, text: str) -> DataFrame:
     """One row for each line that isn't blank, with its line feed if it has one: the training unit of the first design."""
     parts = F.split(F.col(text), "\n")
-    return df.select(F.posexplode(parts).alias("__k", "line"), F.size(parts).alias("__n")).where(F.trim("line") != "").select(F.when(F.col("__k") < F.col("__n") - 1, F.concat("line", F.lit("\n"))).otherwise(F.col("line")).alias("line"))
+    return df.select(F.posexplode(parts).alias("__k", "line"), F.size(parts).alias("__n")).where(strip(F.col("line")) != "").select(F.when(F.col("__k") < F.col("__n") - 1, F.concat("line", F.lit("\n"))).otherwise(F.col("line")).alias("line"))
 
 
 def byte_alphabet() -> dict[int, str]:

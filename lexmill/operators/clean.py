@@ -16,7 +16,7 @@ MARKS = ("\n\n", "\n", ". ", "! ", "? ")
 
 @dataclass(frozen=True)
 class Profile:
-    """Thresholds of the cascade; None switches a gate off."""
+    """Thresholds of the cascade (fixed values); None switches a gate off."""
 
     min_chars: int = 100
     max_chars: int = 200_000

@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def sampled(text: Column, chars: int = 10_000) -> Column:
     """What an identifier sees: the first characters, lines joined by blanks."""
@@ -64,7 +66,8 @@ def with_bypass(df: DataFrame, required: Column, label: str, upstream_score: Col
 
 def spans(df: DataFrame, id: str, text: str, capital: str = "А-ЯЁӨҮҢ", least: int = 100, most: int = 30) -> DataFrame:
     """(id, k, span): parts between blank lines and sentence ends before a capital, long enough, the first ones only."""
-    parts = F.filter(F.transform(F.split(F.col(text), rf"\n\s*\n|(?<=[.!?])\s+(?=[{capital}])"), F.trim), lambda s: F.length(s) >= least)
+    # The pattern, the least length and the most spans.
+    parts = F.filter(F.transform(F.split(F.col(text), rf"\n\s*\n|(?<=[.!?])\s+(?=[{capital}])"), strip), lambda s: F.length(s) >= least)
     return df.select(id, F.posexplode(F.slice(parts, 1, most)).alias("k", "span"))
 
 

@@ -111,7 +111,15 @@ def script_profile(spark, sf_dir):
     return d.select("doc_id", r6(T.ratio(c("letters"), c("nonspace"))).alias("alpha_ratio"), r6(T.ratio(c("cyrillic"), c("letters"))).alias("cyrillic_ratio"), r6(T.ratio(c("latin"), c("letters"))).alias("latin_ratio"), r6(T.ratio(c("special"), c("nonspace"))).alias("special_ratio"), "specific")
 
 
-LINES_SQL = "lines AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS l FROM documents), lc AS (SELECT doc_id, l, count(*) AS n FROM lines WHERE length(l) >= 20 GROUP BY 1, 2), lr AS (SELECT doc_id, sum(n) AS total, coalesce(sum(n) FILTER (n > 1), 0) AS rep FROM lc GROUP BY 1)"
+WS = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def stripped(column: str) -> str:
+    """SQL of a text without white space of any kind at its ends."""
+    return f"regexp_replace({column}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+LINES_SQL = f"lines AS (SELECT doc_id, {stripped('l')} AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)), lc AS (SELECT doc_id, l, count(*) AS n FROM lines WHERE length(l) >= 20 GROUP BY 1, 2), lr AS (SELECT doc_id, sum(n) AS total, coalesce(sum(n) FILTER (n > 1), 0) AS rep FROM lc GROUP BY 1)"
 GRAMS_SQL = rf"w AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}')[1:50000] AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) >= 10), gc AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY 1, 2), gr AS (SELECT doc_id, sum(n) AS total, coalesce(sum(n) FILTER (n > 1), 0) AS rep FROM gc GROUP BY 1)"
 
 
@@ -202,7 +210,7 @@ def mixed_language_docs(spark, sf_dir):
     return lid.mixed(d, "conv_id", ("en", "other"), 0.7, 200, F.col("conv_id"))
 
 
-@query(r"SELECT doc_id, k - 1 AS k, span FROM (SELECT doc_id, unnest(s) AS span, unnest(range(1, len(s) + 1)) AS k FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: trim(x)), lambda x: length(x) >= 100)[1:30] AS s FROM documents))")
+@query(rf"SELECT doc_id, k - 1 AS k, span FROM (SELECT doc_id, unnest(s) AS span, unnest(range(1, len(s) + 1)) AS k FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: {stripped('x')}), lambda x: length(x) >= 100)[1:30] AS s FROM documents))")
 def document_spans(spark, sf_dir):
     return lid.spans(docs(spark, sf_dir), "doc_id", "text").select("doc_id", F.col("k").cast("long").alias("k"), "span")
 
@@ -403,7 +411,7 @@ def byte_pair_counts(spark, sf_dir):
     return bpe.byte_pairs(docs(spark, sf_dir), "text")
 
 
-@query("SELECT text || CASE WHEN k < n THEN chr(10) ELSE '' END AS line FROM (SELECT unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k, len(string_split(text, chr(10))) AS n FROM documents) WHERE trim(text) <> ''")
+@query(f"SELECT text || CASE WHEN k < n THEN chr(10) ELSE '' END AS line FROM (SELECT unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k, len(string_split(text, chr(10))) AS n FROM documents) WHERE {stripped('text')} <> ''")
 def training_lines(spark, sf_dir):
     return bpe.lines_with_ends(docs(spark, sf_dir), "text")
 
@@ -561,15 +569,15 @@ def shard_numbers(spark, sf_dir):
     return d.select("doc_id", F.col("shard").cast("long").alias("shard"))
 
 
-@query("SELECT trim(t) AS text FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM documents) WHERE trim(t) <> ''")
+@query(f"SELECT {stripped('t')} AS text FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM documents) WHERE {stripped('t')} <> ''")
 def validation_lines(spark, sf_dir):
     lines = docs(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("t"))
-    return lines.select(F.trim("t").alias("text")).where("text != ''")
+    return lines.select(T.strip(F.col("t")).alias("text")).where("text != ''")
 
 
-@query("SELECT conv_id, turn, role || chr(10) || trim(text) AS text FROM conversations WHERE trim(text) <> ''")
+@query(f"SELECT conv_id, turn, role || chr(10) || {stripped('text')} AS text FROM conversations WHERE {stripped('text')} <> ''")
 def joined_fields(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where(F.trim("text") != "").select("conv_id", "turn", readers.joined_fields("role", "text").alias("text"))
+    return table(spark, sf_dir, "conversations").where(T.strip(F.col("text")) != "").select("conv_id", "turn", readers.joined_fields("role", "text").alias("text"))
 
 
 # --- flagship ------------------------------------------------------------------------------------------------------------

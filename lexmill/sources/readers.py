@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import detokenize
+from ..functions.text import detokenize, strip
 
 # Wiki namespaces, tags and headings that carry no prose.
 HIDDEN_NAMESPACES = ("category", "file", "image", "media", "категория", "файл", "сүрөт")
@@ -77,6 +77,7 @@ def wiki_dump(spark: SparkSession, path: str, source_id: str, base_url: str) ->
     return d.select(F.lit(source_id).alias("source_id"), "seq", F.col("id").cast("string").alias("upstream_id"), text.alias("text"), F.concat(F.lit(base_url + "?curid="), "id").alias("url"), F.create_map(F.lit("title"), "title", F.lit("revision_id"), F.col("revision.id").cast("string")).alias("metadata"))
 
 
+# Fixed value: an attribute of a text tag.
 _ATTRIBUTE = re.compile(r'(\w+)="([^"]*)"')
 
 
@@ -118,7 +119,7 @@ def vrt(spark: SparkSession, path: str, source_id: str) -> DataFrame:
 def conllu(spark: SparkSession, path: str, dataset: str) -> tuple[DataFrame, DataFrame]:
     """(texts, forms) of CoNLL-U files: sentences by their text comment; words with form and lemma."""
     lines = spark.read.text(path)
-    texts = lines.where(F.startswith("value", F.lit("# text = "))).select(F.lit(dataset).alias("dataset_id"), F.trim(F.substring("value", 10, 1 << 30)).alias("text")).where("text != ''")
+    texts = lines.where(F.startswith("value", F.lit("# text = "))).select(F.lit(dataset).alias("dataset_id"), strip(F.substring("value", 10, 1 << 30)).alias("text")).where("text != ''")
     c = F.split("value", "\t")
     rows = lines.where(~F.startswith("value", F.lit("#"))).select(c.alias("c")).where((F.size("c") == 10) & ~F.col("c")[0].rlike("[-.]"))
     return texts, rows.where(F.col("c")[2] != "_").select(F.col("c")[1].alias("form"), F.col("c")[2].alias("lemma"), F.lit(dataset).alias("dataset"))
@@ -126,7 +127,7 @@ def conllu(spark: SparkSession, path: str, dataset: str) -> tuple[DataFrame, Dat
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """One record for each line that isn't blank, stripped; .zst, .gz and .bz2 by their endings."""
-    return spark.read.text(path).select(F.trim("value").alias("text")).where("text != ''")
+    return spark.read.text(path).select(strip(F.col("value")).alias("text")).where("text != ''")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -135,7 +136,7 @@ def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 def joined_fields(*fields: str) -> Column:
     """Stripped fields that aren't blank, one a line."""
-    return F.concat_ws("\n", *[F.when(F.trim(F.col(f)) != "", F.trim(F.col(f))) for f in fields])
+    return F.concat_ws("\n", *[F.when(strip(F.col(f)) != "", strip(F.col(f))) for f in fields])
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from lexmill.functions import text
 from lexmill.operators import bpe, clean, dedup, evaluate, mixture
 from lexmill.plans import catalogue
 
@@ -87,3 +88,11 @@ def test_bpe_queries_train_on_documents(spark, tmp_path):
     assert run(spark, tmp_path, "bpe_first_merges", texts)[0][1:] == ("20", "78")
     got = catalogue.QUERIES["bpe_roundtrip_documents"](spark, str(tmp_path)).first()
     assert (got.records, got.failures) == (5, 0)
+
+
+def test_strip_is_for_white_space_of_any_kind(spark):
+    texts = ["\t a b  ", " 　\x1c\x85 ", "", " \n x\n\n", "a​ ", "\r\n\x0b\x0cé"]
+    d = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    assert [r[0] for r in d.select(text.strip(F.col("t"))).collect()] == [t.strip() for t in texts] + [None]
+    lines = spark.createDataFrame([("a\n\t \nb",)], "t string")
+    assert [r[0] for r in bpe.lines_with_ends(lines, "t").collect()] == ["a\n", "b"]
