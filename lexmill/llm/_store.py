@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 _own: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: What is broadcast at most, in bytes of a hash table; larger tables are joined by shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -44,15 +45,30 @@ def _files(spark: SparkSession, path: str):
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
 
 
-def materialize(df: DataFrame, *hashes: str) -> DataFrame:
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Inside, Python workers get batches of so many rows at most, so that texts of a batch stay small."""
+    before = spark.conf.get(_BATCH, None)
+    if rows:
+        spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        if rows:
+            spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+
+
+def materialize(df: DataFrame, *hashes: str, rows: int | None = None) -> DataFrame:
     """Write df under the shared folder and read it back.  Columns of hashes (Parquet paths) are written without a dictionary.
 
+    rows: rows of a Python worker's batch at most, as the session says if None.
+
     A lost executor then costs a re-read, never a recomputation of everything before.  The files go with release(), or
     else when the session ends; the shuffle files of the query that wrote them go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    with _shuffles_go(spark):
+    with _shuffles_go(spark), _batches_of(spark, rows):
         df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in hashes}).parquet(path)
     files, jvm_path = _files(spark, path)
     files.deleteOnExit(jvm_path)
