@@ -12,6 +12,8 @@ from lexmill.llm.queries import WEIGHTS, domain_of, table
 #: Not SQL: the classifier of the first stage and the seeded mixture of the last. Tested against a brute-force version.
 ORACLE_SQL = None
 WORD = r"[^\x20\x09-\x0D]"
+#: Documents of a Python worker's batch at most, as workers live as long as the pipeline and keep what they once took.
+BATCH_ROWS = 1000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs)
+            docs = materialize(docs, rows=BATCH_ROWS)
     return docs
