@@ -40,6 +40,8 @@ MARKS = 1 << 26
 #: A column of more rows is dealt to blocks of about as many.
 HOT_ROWS = 1_000_000
 _ROWS_OUT = 200_000
+#: Rows with whole texts or sets in a Python worker's batch at most.
+BATCH_ROWS = 1000
 #: Shingles of the pairs verified in one round, as a share of the shingles of all rows.
 ROUND_SHARE = 0.5
 #: A row of more pairs gets copies of its set (more pairs where there are more than a thousand times as many in all).
@@ -455,7 +457,7 @@ def _links(docs: DataFrame, pairs: DataFrame, shingle: int, bounds: Bounds, tota
         sets = docs.mapInArrow(_fetch(shingle, wanted, copies), "cid long, copy long, shingles binary").dropDuplicates(["cid", "copy"])
         x, y = (sets.select(F.col("cid").alias(side), F.col("copy").alias(f"copy_{side}"), F.col("shingles").alias(name)) for side, name in (("a", "x"), ("b", "y")))
         joined = part.join(x, ["a", "copy_a"]).join(y, ["b", "copy_b"])
-        links.append(materialize(joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(_verify(bounds), "a long, b long, overlap long, na long, nb long")))
+        links.append(materialize(joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(_verify(bounds), "a long, b long, overlap long, na long, nb long"), rows=BATCH_ROWS))
         wanted.destroy()
     release(hubs)
     return reduce(DataFrame.unionByName, links)
@@ -475,7 +477,7 @@ def similar_documents(df: DataFrame, text: str = "text", id: str = "doc_id", shi
     bounds = Bounds(similarity)
     spark = df.sparkSession
     texts = df.select(F.col(text).cast("string").alias("t"))
-    scanned = materialize(df.select(F.col(id).alias("key"), F.col(text).cast("string").alias("t")).mapInArrow(_scan(shingle), f"kind byte, key {df.schema[id].dataType.simpleString()}, n long, sig long, parity array<long>, slice int, counts binary"))
+    scanned = materialize(df.select(F.col(id).alias("key"), F.col(text).cast("string").alias("t")).mapInArrow(_scan(shingle), f"kind byte, key {df.schema[id].dataType.simpleString()}, n long, sig long, parity array<long>, slice int, counts binary"), rows=BATCH_ROWS)
     counters = spark.sparkContext.broadcast(_counters(scanned))
     rows = scanned.where("kind = 0").select("key", "n", "sig")
 
