@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._rows import add_columns
+from ._rows import add_columns, neutral
 from ._store import materialize, without
 from ._words import ALNUM, blocks, grams
 
@@ -198,6 +198,5 @@ def digest(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """The rows of df that no benchmark item hits, with df's columns; for parameters see find_contamination()."""
-    packed = df.select(F.col(text).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
-    clean = find_contamination(packed, benchmark, "__text", **how).where(F.size("hit_spans") == 0)
-    return clean.select(*[F.col("__row")[c].alias(c) for c in df.columns])
+    renamed, column, own = neutral(df, text)
+    return find_contamination(renamed, benchmark, column, **how).where(F.size("hit_spans") == 0).select(*own)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._rows import add_columns
+from ._rows import add_columns, lean
 from ._words import raw_blocks
 
 WIDTH = 4096
@@ -142,7 +142,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "
     bound = F.lit(0)
     for name, n in found.items():
         bound = F.when(F.col("l") == name, F.lit(min(scale, int(scale * 1.2 * sample / n) + 1))).otherwise(bound)
-    chosen = rows.where(F.pmod("h", F.lit(scale)) < bound).select("t", "l").mapInArrow(_vectors, "lang string, x binary").toArrow()
+    chosen = rows.where(F.pmod("h", F.lit(scale)) < bound).select("t", "l").mapInArrow(lean(_vectors), "lang string, x binary").toArrow()
     chosen = chosen.sort_by([("lang", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(chosen.column("x").to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
     return Model(x, chosen.column("lang").to_pylist(), families or FAMILIES)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
+from ._rows import lean
 from ._store import materialize, release, small
 from ._words import mix, shingle_sets, signed
 
@@ -42,6 +43,8 @@ HOT_ROWS = 1_000_000
 _ROWS_OUT = 200_000
 #: Rows with whole texts or sets in a Python worker's batch at most.
 BATCH_ROWS = 1000
+#: The same where a batch of three numbers a row goes through workers in the same query.
+LEADING_ROWS = 4000
 #: Shingles of the pairs verified in one round, as a share of the shingles of all rows.
 ROUND_SHARE = 0.5
 #: A row of more pairs gets copies of its set (more pairs where there are more than a thousand times as many in all).
@@ -140,7 +143,7 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _counters(scanned: DataFrame) -> np.ndarray:
     """The commonness array: slices are summed as they lie, then by number.  _SLICES rows reach the driver."""
     slices = scanned.where("kind = 1").select("slice", "counts")
-    slices = slices.mapInArrow(_add_slices, "slice int, counts binary").repartition(16, "slice").mapInArrow(_add_slices, "slice int, counts binary")
+    slices = slices.mapInArrow(lean(_add_slices), "slice int, counts binary").repartition(16, "slice").mapInArrow(lean(_add_slices), "slice int, counts binary")
     counts = np.zeros((_SLICES, WIDTH // _SLICES), np.int32)
     for k, raw in slices.collect():
         counts[k] = np.frombuffer(raw, "<i4")
@@ -371,7 +374,7 @@ def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _marks(ids: DataFrame) -> np.ndarray:
     """The bit array of ids, MARKS bits however many there are; _SLICES rows reach the driver."""
-    slices = ids.coalesce(16).mapInArrow(_mark, "slice int, bits binary").repartition(16, "slice").mapInArrow(_either, "slice int, bits binary")
+    slices = ids.coalesce(16).mapInArrow(lean(_mark), "slice int, bits binary").repartition(16, "slice").mapInArrow(lean(_either), "slice int, bits binary")
     bits = np.zeros((_SLICES, MARKS // _SLICES // 8), np.uint8)
     for k, raw in slices.collect():
         bits[k] = np.frombuffer(raw, np.uint8)
@@ -454,10 +457,10 @@ def _links(docs: DataFrame, pairs: DataFrame, shingle: int, bounds: Bounds, tota
     for k in range(rounds):
         part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)
         wanted = spark.sparkContext.broadcast(_marks(part.select(F.explode(F.array("a", "b")).alias("cid"))))
-        sets = docs.mapInArrow(_fetch(shingle, wanted, copies), "cid long, copy long, shingles binary").dropDuplicates(["cid", "copy"])
+        sets = docs.mapInArrow(lean(_fetch(shingle, wanted, copies)), "cid long, copy long, shingles binary").dropDuplicates(["cid", "copy"])
         x, y = (sets.select(F.col("cid").alias(side), F.col("copy").alias(f"copy_{side}"), F.col("shingles").alias(name)) for side, name in (("a", "x"), ("b", "y")))
         joined = part.join(x, ["a", "copy_a"]).join(y, ["b", "copy_b"])
-        links.append(materialize(joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(_verify(bounds), "a long, b long, overlap long, na long, nb long"), rows=BATCH_ROWS))
+        links.append(materialize(joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(lean(_verify(bounds)), "a long, b long, overlap long, na long, nb long"), rows=BATCH_ROWS))
         wanted.destroy()
     release(hubs)
     return reduce(DataFrame.unionByName, links)
@@ -477,23 +480,23 @@ def similar_documents(df: DataFrame, text: str = "text", id: str = "doc_id", shi
     bounds = Bounds(similarity)
     spark = df.sparkSession
     texts = df.select(F.col(text).cast("string").alias("t"))
-    scanned = materialize(df.select(F.col(id).alias("key"), F.col(text).cast("string").alias("t")).mapInArrow(_scan(shingle), f"kind byte, key {df.schema[id].dataType.simpleString()}, n long, sig long, parity array<long>, slice int, counts binary"), rows=BATCH_ROWS)
+    scanned = materialize(df.select(F.col(id).alias("key"), F.col(text).cast("string").alias("t")).mapInArrow(lean(_scan(shingle)), f"kind byte, key {df.schema[id].dataType.simpleString()}, n long, sig long, parity array<long>, slice int, counts binary"), rows=BATCH_ROWS)
     counters = spark.sparkContext.broadcast(_counters(scanned))
     rows = scanned.where("kind = 0").select("key", "n", "sig")
 
-    shared = materialize(texts.mapInArrow(_leading(shingle, bounds, counters), "h long, cid long, np long").repartition("h").sortWithinPartitions("h", "np", "cid").mapInArrow(_shared, "h long, cid long, np long"))
+    shared = materialize(texts.mapInArrow(lean(_leading(shingle, bounds, counters)), "h long, cid long, np long").repartition("h").sortWithinPartitions("h", "np", "cid").mapInArrow(lean(_shared), "h long, cid long, np long"), rows=LEADING_ROWS)
     counters.destroy()
     hot = materialize(shared.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("h", F.ceil(F.col("n") / HOT_ROWS).cast("long").alias("blocks")))
     dealt = None if hot.isEmpty() else hot
     by_column = _dealt(shared, dealt, False).repartition("h").sortWithinPartitions("h", "np", "cid")
     maps = materialize(scanned.where("kind = 0 and n > 0").select("sig", "parity").dropDuplicates(["sig"]))
-    first = materialize(_plausible(_added(by_column.mapInArrow(_star(bounds), PAIRS), bounds), maps, bounds))
+    first = materialize(_plausible(_added(by_column.mapInArrow(lean(_star(bounds)), PAIRS), bounds), maps, bounds))
     total = rows.agg(F.sum("n")).first()[0] or 0
     links = _links(texts, first, shingle, bounds, total)
     roots = components(links)
     rest = shared.join(roots, F.col("cid") == F.col("node"), "left").select("h", "cid", "np", F.coalesce("root", "cid").alias("root"))
     rest = _dealt(rest, dealt, True).repartition("h").sortWithinPartitions("h")
-    second = _added(rest.mapInArrow(_rest(bounds), PAIRS), bounds).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = _added(rest.mapInArrow(lean(_rest(bounds)), PAIRS), bounds).join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = materialize(_plausible(second, maps, bounds))
     release(shared, maps, first, hot)
     if not second.isEmpty():
