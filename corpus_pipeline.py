@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import decontaminate, language, line_dedup, mixing, ngram_join
+from lexmill.llm._rows import neutral
 from lexmill.llm._store import materialize
 from lexmill.llm.queries import WEIGHTS, domain_of, table
 
@@ -22,9 +23,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The classifier learns from a bounded number of the documents that have a language already.
     """
     model = language.fit(docs)
-    packed = docs.select("text", F.struct(*docs.columns).alias("row"))
-    found = language.identify(packed, model).where(F.col("lang_pred") != language.UNDETERMINED)
-    return found.select(*[(F.col("lang_pred") if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns])
+    renamed, text, own = neutral(docs, "text")
+    found = language.identify(renamed, model, text).where(F.col("lang_pred") != language.UNDETERMINED)
+    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else o for c, o in zip(docs.columns, own)])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
