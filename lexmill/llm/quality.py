@@ -3,8 +3,9 @@
 The sketch is a histogram of logarithmic buckets (each about 2 % wide), so that a quantile is off by 1 % of its value at
 most.  Sketches are rows (group, measure, bucket, count): merging is adding counts, which Spark does map-side, so the
 result is the same however rows are dealt, and a group with a third of all rows weighs nothing.  Fences are upper
-quartile plus `reach` interquartile ranges of a measure in a language and source; groups of fewer than `least` rows take
-those of the language, and else of all rows.  Shares of symbols, repeated lines and repeated words are 0 in most rows,
+quartile plus `reach` interquartile ranges of a measure in a language and source.  A group's sketch also holds its
+language's, scaled to `least` rows, and a language's that of all rows: the fewer rows a group has, the more it leans on
+them, with no size at which the rule changes.  Shares of symbols, repeated lines and repeated words are 0 in most rows,
 which leaves no interquartile range: there the cutoff is the `tail` quantile, but no less than the median of the values
 above 0, so that one repeated line is no reason yet.  They are sketched from the rows that pass the base rule.
 """
@@ -19,13 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._rows import add_columns
-from ._store import materialize
+from ._store import materialize, small
 from ._words import blocks, grams
 
 RUN = 8
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _GROWTH = 1.02
+#: Parts that a row counts as in a sketch with lent rows, so that counts stay whole numbers and sums don't hang on their order.
+_UNIT = 1 << 20
 #: Added before the logarithm, so that 0 has a bucket; ratios below it count as 0.
 _SHIFT = 1e-3
 MEASURES = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_length")
@@ -116,6 +119,15 @@ def sketch(measured: DataFrame, keys: list[str]) -> DataFrame:
     return measured.select(*keys, F.explode(cells).alias("cell")).where("cell.bucket IS NOT NULL").groupBy(*keys, "cell.measure", "cell.bucket").agg(F.count("*").alias("n"))
 
 
+def shrunk(own: DataFrame, parent: DataFrame, keys: list[str], up: list[str], least: int) -> DataFrame:
+    """own's counts in parts of a row, with the parent's distribution added as `least` rows; keys begin with `up`."""
+    whole = Window.partitionBy(*up, "measure")
+    lent = parent.withColumn("lent", F.round(F.lit(float(least * _UNIT)) * F.col("n") / F.sum("n").over(whole)).cast("long"))
+    lent = own.select(*keys, "measure").distinct().join(small(materialize(lent.drop("n"))), [*up, "measure"]).select(*keys, "measure", "bucket", F.col("lent").alias("n"))
+    both = own.select(*keys, "measure", "bucket", (F.col("n") * _UNIT).alias("n")).unionByName(lent)
+    return both.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def quantiles(sketched: DataFrame, keys: list[str], at: dict[str, float]) -> DataFrame:
     """(keys, measure, n, one column for each named quantile)."""
     by = [F.col(k) for k in (*keys, "measure")]
@@ -141,30 +153,23 @@ def apply_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: s
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated 8-word runs.  kept: not base_failed, and no
     measure outside the fences of its language and source: symbols, repeated lines and repeated words only count above
-    them, word length on both sides.  floor: what a measure's fence is at least; none by default.  Null languages and sources are groups of their own; null and empty texts fail the base rule; no rows
+    them, word length on both sides.  least: rows that a language counts as in the sketch of each of its sources, and all
+    rows in that of each language.  floor: what a measure's fence is at least; none by default.  Null languages and sources are groups of their own; null and empty texts fail the base rule; no rows
     give no rows.  Columns named like added ones are replaced.
     """
     floor = floor or {}
     measured = materialize(measure(df, text))
-    keys = {"both": ["__l", "__s"], "lang": ["__l"], "all": []}
+    keys = ["__l", "__s"]
     m = measured.withColumns({"__l": F.coalesce(F.col(lang).cast("string"), F.lit("\x00")), "__s": F.coalesce(F.col(source).cast("string"), F.lit("\x00"))})
-    fine = materialize(sketch(m, keys["both"]))
-    tables = {}
-    for name, by in keys.items():
-        merged = fine.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
-        rows = fences(merged, by, reach, tail).where(F.col("n") >= (least if by else 0)).groupBy(*by).agg(*[F.max(F.when(F.col("measure") == k, F.struct("low", "high"))).alias(f"__{name}_{k}") for k in MEASURES])
-        tables[name] = materialize(rows)
-    for name in ("both", "lang"):
-        small = tables[name].count() <= 100_000
-        m = m.join(F.broadcast(tables[name]) if small else tables[name], keys[name], "left")
-    overall = tables["all"].first()
-    for k in MEASURES:
-        pair = overall and overall[f"__all_{k}"] or (None, None)
-        m = m.withColumn(f"__all_{k}", F.struct(F.lit(pair[0]).cast("double").alias("low"), F.lit(pair[1]).cast("double").alias("high")))
+    fine = materialize(sketch(m, keys))
+    merged = lambda by: fine.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
+    by_lang = shrunk(merged(["__l"]), merged([]), ["__l"], [], least)
+    found = materialize(fences(materialize(shrunk(fine, by_lang, keys, ["__l"], least)), keys, reach, tail).groupBy(*keys).agg(*[F.max(F.when(F.col("measure") == k, F.struct("low", "high"))).alias(f"__{k}") for k in MEASURES]))
+    m = m.join(small(found, 160), keys, "left")
     ok = F.lit(True)
     for k, v in _values().items():
-        fence = F.coalesce(*[F.col(f"__{name}_{k}") for name in keys])
+        fence = F.col(f"__{k}")
         ok &= F.coalesce(v <= (F.greatest(fence["high"], F.lit(floor[k])) if k in floor else fence["high"]), F.lit(True))
         if k == "word_length":
             ok &= F.coalesce(v >= fence["low"], F.lit(True))
-    return m.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & ok).drop("__l", "__s", *[f"__{n}_{k}" for n in keys for k in MEASURES])
+    return m.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & ok).drop(*keys, *[f"__{k}" for k in MEASURES])
