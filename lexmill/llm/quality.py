@@ -138,14 +138,15 @@ def quantiles(sketched: DataFrame, keys: list[str], at: dict[str, float]) -> Dat
 
 
 def fences(sketched: DataFrame, keys: list[str], reach: float, tail: float) -> DataFrame:
-    """(keys, measure, n, low, high).  The high end of a share is a bucket's upper end, so that equal values stay together."""
+    """(keys, measure, n, low, high).  Ends are those of buckets, so that equal values stay together and a spread is a bucket at least."""
     q = quantiles(sketched, keys, {"q1": 0.25, "q3": 0.75, "tail": tail})
     above = quantiles(sketched.where(F.col("bucket") > _ZERO), keys, {"middle": 0.5}).drop("n")
     upper = lambda c: (F.col(c) + _SHIFT) * math.sqrt(_GROWTH) * (1 + 1e-9) - _SHIFT
-    spread = F.col("q3") - F.col("q1")
+    lower = lambda c: (F.col(c) + _SHIFT) / math.sqrt(_GROWTH) * (1 - 1e-9) - _SHIFT
+    spread = upper("q3") - lower("q1")
     share = F.when(F.col("q3") < _NOTHING, F.greatest(upper("tail"), upper("middle"))).otherwise(upper("q3") + reach * spread)
-    high = F.when(F.col("measure") == "word_length", F.col("q3") + reach * spread).otherwise(share)
-    return q.join(above, [*keys, "measure"], "left").select(*keys, "measure", "n", (F.col("q1") - reach * spread).alias("low"), high.alias("high"))
+    high = F.when(F.col("measure") == "word_length", upper("q3") + reach * spread).otherwise(share)
+    return q.join(above, [*keys, "measure"], "left").select(*keys, "measure", "n", (lower("q1") - reach * spread).alias("low"), high.alias("high"))
 
 
 def apply_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = 200, reach: float = 6.0, floor: dict[str, float] | None = None, tail: float = 0.95) -> DataFrame:
