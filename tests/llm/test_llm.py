@@ -161,6 +161,21 @@ def test_line_dedup_is_exact(spark, monkeypatch):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_line_dedup_counters_are_of_a_sample(spark, monkeypatch):
+    # No text, each text and long texts alone are counted: any counters give the same lines.
+    r = random.Random(7)
+    base = [[f"w{r.randrange(60)}" for _ in range(r.choice((5, 9, 25)))] for _ in range(5)]
+    texts = ["\n".join(" ".join([*x[: r.randrange(4, len(x))], f"z{r.randrange(9)}"]) for x in r.choices(base, k=4)) for _ in range(60)]
+    df, found = frame(spark, texts), []
+    for sample, long_text, counted in ((1, 1 << 16, True), (1 << 40, 1 << 16, False), (1 << 40, 80, True)):
+        monkeypatch.setattr(line_dedup, "SAMPLE", sample)
+        monkeypatch.setattr(line_dedup, "LONG_TEXT", long_text)
+        ranks = line_dedup._ranks(df, "doc_id", "text", 5)[0].first().ranks
+        assert len(ranks) == line_dedup.COUNTERS and any(ranks) == counted
+        found.append({tuple(x) for x in line_dedup.removed_lines(df).collect()})
+    assert found[0] and found[0] == found[1] == found[2]
+
+
 def test_quality(spark):
     r = {x.doc_id: x for x in quality.apply_rules(frame(spark)).collect()}
     assert r[0].kept and r[4].base_failed and r[8].n_repeat_words == 120 and r[8].n_dup_lines == 1 and r[9].word_chars == 120
