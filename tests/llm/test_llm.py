@@ -6,7 +6,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, html_text, language, lattice, line_dedup, mixing, ngram_join, quality, secrets, warc
+from lexmill.llm import _store, decontaminate, html_text, language, lattice, line_dedup, mixing, ngram_join, quality, secrets, warc
 from lexmill.llm._words import ALNUM, blocks
 
 LONG = " ".join(f"w{k}" for k in range(60))
@@ -121,6 +121,15 @@ def test_secrets(spark):
     assert got == ["weak_assign:0:14", ""]
 
 
+def test_driver_gives_native_memory_back(spark, monkeypatch):
+    assert _store.give_back(spark)
+    calls, real = [], _store.give_back
+    monkeypatch.setattr(_store, "give_back", lambda s: calls.append(real(s)))
+    table = _store.materialize(spark.range(3))
+    assert calls == [True] and table.count() == 3
+    _store.release(table)
+
+
 def test_line_dedup(spark):
     got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark)).collect()}
     assert got[0].n_removed == 0 and got[1].text == "" and got[2].n_removed == 1 and got[8].n_removed == 2 and got[4].text is None and got[6].text == "one two" and got[7].n_removed == 1 and got[7].text == "" and got[5].n_removed == 0
