@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexmill.functions import text
@@ -96,3 +98,31 @@ def test_strip_is_for_white_space_of_any_kind(spark):
     assert [r[0] for r in d.select(text.strip(F.col("t"))).collect()] == [t.strip() for t in texts] + [None]
     lines = spark.createDataFrame([("a\n\t \nb",)], "t string")
     assert [r[0] for r in bpe.lines_with_ends(lines, "t").collect()] == ["a\n", "b"]
+
+
+def test_bpe_training_beyond_the_driver_and_blocks(spark):
+    texts = ["aaab aaaa abab bcbc abcabc aaa", "Straße é\U0001f600é ab ab", "", None, "  abab\n\nbcb 12 345 ab-ab"] + [f"word{k % 7}{k} abc{k % 3}" for k in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    counts = {r.pretoken: r.n for r in bpe.pretoken_counts(d, "text", "cased").collect()}
+    for size, longest in ((300, 64), (330, 3), (5000, 64)):
+        want = bpe.merge_loop(counts, size, 2, longest)
+        for most in (1, 20, 10_000):
+            got = bpe.train(d, "text", size, max_token_length=longest, most_pretokens=most)
+            assert (got.merges, got.vocab) == (want.merges, want.vocab), (size, longest, most)
+    ok = d.withColumn("ok", bpe.round_trip(d, want, "text")).collect()
+    assert all(r.ok for r in ok) and len(ok) == len(texts)
+    broken = bpe.Model(want.merges, "cased", [v if v != b"a" else b"?" for v in want.vocab])
+    broken.ids[b"a"] = want.ids[b"a"]
+    assert {r.text for r in d.withColumn("ok", bpe.round_trip(d, broken, "text")).where("not ok").collect()} >= {"aaab aaaa abab bcbc abcabc aaa"}
+    assert {r.id: r.tokens for r in bpe.token_lengths(d, want, "id", "text").collect()} == {k: len(want.encode(t or "")) for k, t in enumerate(texts)}
+
+
+def test_words_are_encoded_at_once_as_one_by_one():
+    # b"abc" is made by two merges; the later one makes a pair of lower rank with what follows.
+    m = bpe.Model([(b"a", b"b"), (b"ab", b"c"), (b"abc", b"d"), (b"b", b"x"), (b"b", b"c"), (b"a", b"bc")])
+    m.merges = [(b"b", b"c"), (b"ab", b"c"), (b"abc", b"d"), (b"a", b"bc")]
+    m.ranks = {p: k for k, p in enumerate(m.merges)}
+    words = ["abcd", "", "aaaa", "bcd", "xabcdabcd", "é"]
+    ids, sizes = bpe.encode_words(m, pa.array(words))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [m.encode_piece(w) for w in words]
+    assert m.decode(m.encode_piece("abcd")) == "abcd" and len(m.encode_piece("abcd")) == 1
