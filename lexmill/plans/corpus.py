@@ -87,9 +87,8 @@ class Build:
 
     def decisions(self, reset: bool = False) -> DataFrame:
         def make():
-            docs = self.accepted()
-            pairs = dedup.similar_pairs(docs, "doc_id", "clean_text", self.config.threshold, self.config.shingle)
-            return dedup.greedy_survivors(docs.select("doc_id", "priority", (-F.col("byte_length")).alias("size"), "text_sha256"), pairs, "doc_id", F.col("priority"), F.col("size"), F.col("text_sha256"))
+            order = F.col("priority"), -F.col("byte_length"), F.col("text_sha256")
+            return dedup.near_survivors(self.accepted(), "doc_id", "clean_text", *order, threshold=self.config.threshold, n=self.config.shingle)
 
         return self._stage("decisions", make, reset)
 

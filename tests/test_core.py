@@ -1,8 +1,10 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lexmill.functions import text
+from lexmill.functions import shingles, text
 from lexmill.operators import bpe, clean, dedup, evaluate, mixture
 from lexmill.plans import catalogue
 
@@ -126,3 +128,54 @@ def test_words_are_encoded_at_once_as_one_by_one():
     ids, sizes = bpe.encode_words(m, pa.array(words))
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [m.encode_piece(w) for w in words]
     assert m.decode(m.encode_piece("abcd")) == "abcd" and len(m.encode_piece("abcd")) == 1
+
+
+def test_near_pairs_and_survivors_by_classes(spark, tmp_path):
+    """Equal sets, near copies, chains and short texts against plain loops; no pair of equal sets is made for the decisions."""
+    base = [f"w{k}" for k in range(40)]
+    texts = [" ".join(base), "A B  c d, e!", "a b c d e", None, "", "one two", "One, two", "é"]
+    for k in range(30):
+        words = [f"x{k % 4}y{j}" for j in range(30 + k % 3)]
+        words[-1 - k % 5] = f"z{k // 6}"
+        texts.append(" ".join(words) + (" " + " ".join(base[:k]) if k % 2 else ""))
+    texts += [" ".join(base[k:]) + " " + " ".join(base[:k]) for k in range(0, 9, 2)] + texts[:3] * 4
+    sets = {}
+    for k, t in enumerate(texts):
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    pairs = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and sets[a] and sets[b] and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    assert {(r.a, r.b): (r.shared, r.size_a, r.size_b) for r in run(spark, tmp_path / "p", "shingle_jaccard_pairs", texts)} == {(a, b): (s, len(sets[a]), len(sets[b])) for (a, b), s in pairs.items()}
+    assert {(r.a, r.b) for r in run(spark, tmp_path / "l", "lsh_near_pairs", texts)} <= pairs.keys()
+
+    def greedy(order):
+        of, kept = {}, []
+        for k in order:
+            near = [j for j in kept if (min(j, k), max(j, k)) in pairs]
+            of[k] = min(near, default=None)
+            kept += [k] if not near else []
+        return of
+
+    d = spark.createDataFrame([(k, t, -k * 7 % 64) for k, t in enumerate(texts)], "doc_id long, text string, o long")
+    assert len({r.o for r in d.collect()}) == len(texts)
+    for key, order in ((F.col("doc_id"), sorted(sets)), (F.col("o"), sorted(sets, key=lambda k: -k * 7 % 64))):
+        want = greedy(order)
+        got = {r.doc_id: (r.kept, r.near_duplicate_of) for r in dedup.near_survivors(d, "doc_id", "text", key).collect()}
+        assert got == {k: (v is None, v) for k, v in want.items()}
+    copies = spark.createDataFrame([(k, "a b c d e f") for k in range(3000)], "doc_id long, text string")
+    members, made = dedup.class_pairs(copies, "doc_id", "text")
+    assert members.count() == 3000 and made.count() == 0
+    assert dedup.similar_pairs(copies, "doc_id", "text").count() == 3000 * 2999 // 2
+
+
+def test_hashes_are_those_of_spark(spark):
+    texts = ["a b c d e f g", "one", "é ü straße " * 30 + "zz", "w" * 40 + " " + "v" * 33 + " x y z 12", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {r.id: (sorted(r.h), r.m) for r in d.select("id", F.transform(dedup.shingles(F.col("text")), lambda x: F.xxhash64(x)).alias("h"), dedup.minhash(F.col("text"), 20).alias("m")).where("text is not null").collect()}
+    joined = [r.t for r in dedup._joined(d, "id", "text").orderBy("id").collect()]
+    found = dict(shingles.sets(pa.array(joined, pa.string()), 5, shingles.xxhash))
+    seeds = (np.arange(20) + 1_000_003).astype(np.uint64)[:, None]
+    for k, (hashes, least) in want.items():
+        assert sorted(shingles.signed(found[k]).tolist()) == hashes
+        if hashes:
+            h = shingles.xxhash_long(found[k], np.uint64(42))
+            assert shingles.xxhash_int(seeds, h[None, :]).view(np.int64).min(1).tolist() == least
