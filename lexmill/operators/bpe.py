@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -67,9 +66,7 @@ def sequential(text: str) -> list[str]:
     return pieces
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _sequential(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [] if t is None else sequential(t))
+_sequential = by_slices(lambda texts: [[] if t is None else sequential(t) for t in texts.to_pylist()], ArrayType(StringType()))
 
 
 def pretokens(text: Column, style: str) -> Column:

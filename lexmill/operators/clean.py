@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
+from ..functions.rows import each
 
 MARKS = ("\n\n", "\n", ". ", "! ", "? ")
 
@@ -63,10 +63,7 @@ def chunk(df: DataFrame, most: int, id: str = "upstream_id", text: str = "text")
     Only rows longer than `most` go through Python; all others stay in the JVM.
     """
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else chunks_of(t, most))
-
+    cut = each(lambda t: chunks_of(t, most), ArrayType(StringType()))
     base = df.withColumn("parent_id", F.col(id).cast("string"))
     short = base.where(F.coalesce(F.length(text), F.lit(0)) <= most).withColumns({"chunk_index": F.lit(0), "chunk_count": F.lit(1), id: F.col("parent_id")})
     long_ = base.where(F.length(text) > most).withColumn("__c", cut(text))

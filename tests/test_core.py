@@ -1,10 +1,12 @@
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
-from lexmill.functions import shingles, text
+from lexmill.functions import rows, shingles, text
 from lexmill.operators import bpe, clean, dedup, evaluate, mixture
 from lexmill.plans import catalogue
 
@@ -179,3 +181,23 @@ def test_hashes_are_those_of_spark(spark):
         if hashes:
             h = shingles.xxhash_long(found[k], np.uint64(42))
             assert shingles.xxhash_int(seeds, h[None, :]).view(np.int64).min(1).tolist() == least
+
+
+def test_workers_hold_few_rows_and_no_text_in_vain(spark):
+    d = spark.range(3 * rows.SLICE + 7).repartition(1).select("id", F.concat(F.lit("“Größe” – "), "id").alias("t"), F.concat(F.lit("e\u0301"), "id").alias("u"))
+    seen = rows.by_slices(lambda values: [len(values)] * len(values), IntegerType())
+    assert d.select(F.max(seen("t"))).first()[0] == rows.SLICE
+    asked = rows.each(lambda t: "asked", StringType())
+    assert d.select("t", "u", asked(F.when(F.col("t").rlike(text.COMPOSES), F.col("t"))).alias("a"), asked(F.when(F.col("u").rlike(text.COMPOSES), F.col("u"))).alias("b")).where("a is null and b = 'asked'").count() == d.count()
+    assert d.select(text.nfc(F.col("t")) == F.col("t"), text.nfc(F.col("u")) == F.concat(F.lit("\u00e9"), "id")).distinct().collect() == [(True, True)]
+
+
+def test_composing_characters_are_covered():
+    first, inside = {}, re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", text.COMPOSES))
+    for c in map(chr, (k for k in range(0x110000) if not 0xD800 <= k < 0xE000)):
+        parts = unicodedata.decomposition(c).split()
+        if unicodedata.combining(c) or unicodedata.normalize("NFC", c) != c:
+            assert inside.match(c), hex(ord(c))
+        elif len(parts) == 2 and not parts[0].startswith("<"):
+            first[c] = chr(int(parts[1], 16))
+    assert all(inside.match(c) for c in [*first.values(), *map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)])])
