@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import SLICE
+from .tables import cut_lineage
+
 
 def percentiles(df: DataFrame, by: list[str], column: str, at: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
     """Nearest rank with half-even rounding of (n - 1) * f; nulls don't count; integers come back as they are.
@@ -25,12 +32,56 @@ def counters(df: DataFrame, by: str, metrics: dict) -> DataFrame:
     return sums.unpivot(by, list(metrics), "metric", "value")
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Code points of all texts of a task and how often each occurs."""
+    counts = np.zeros(0x110000, np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            for text in batch.column(0).slice(at, SLICE).to_pylist():
+                if text:
+                    found = np.bincount(_points(text))
+                    counts[: len(found)] += found
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["point", "n"])
+
+
 def characters(df: DataFrame, text: str, order: list[str], k: int = 50) -> DataFrame:
-    """The k most frequent characters; ties by where they come first in the order of rows."""
-    chars = df.select(F.posexplode(F.split(F.col(text), "")).alias("__at", "char"), *order).where(F.length("char") > 0)
-    counted = chars.groupBy("char").agg(F.count("*").alias("n"), F.min(F.struct(*order, "__at")).alias("__first"))
-    top = counted.orderBy(F.desc("n"), "__first").limit(k)
-    return top.select("char", F.concat(F.lit("U+"), F.lpad(F.regexp_replace(F.hex(F.encode("char", "UTF-32BE")), "^0+", ""), 4, "0")).alias("codepoint"), "n")
+    """The k most frequent characters; ties by where they come first in the order of rows.
+
+    Only characters that are as frequent as another among the first are looked for in the rows again.
+    """
+    counted = cut_lineage(df.select(text).mapInArrow(_counts, "point int, n long").groupBy("point").agg(F.sum("n").alias("n")))
+    best = [r.n for r in counted.orderBy(F.desc("n")).limit(k).collect()]
+    top = counted.where(F.col("n") >= (best[-1] if best else 0))
+    tied = top.join(top.groupBy("n").count().where("count > 1"), "n", "left_semi").select("point").toArrow().column(0).to_numpy()
+    wanted = np.zeros(0x110000, bool)
+    wanted[tied] = True
+    shared = df.sparkSession.sparkContext.broadcast(wanted)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches if len(tied) else ():
+            for at in range(0, batch.num_rows, SLICE):
+                part, rows, points, places = batch.slice(at, SLICE), [], [], []
+                for i, t in enumerate(part.column(0).to_pylist()):
+                    if t:
+                        hit = np.flatnonzero(shared.value[all_ := _points(t)])
+                        found, first = np.unique(all_[hit], return_index=True)
+                        rows.append(np.full(len(found), i))
+                        points.append(found)
+                        places.append(hit[first])
+                if rows:
+                    rows = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(points).astype(np.int32)), *[part.column(c + 1).take(rows) for c in range(len(order))], pa.array(np.concatenate(places).astype(np.int32))], names=["point", *order, "__at"])
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in order)
+    places = df.select(text, *order).mapInArrow(firsts, f"point int, {kinds}, __at int").groupBy("point").agg(F.min(F.struct(*order, "__at")).alias("__first"))
+    top = top.join(places, "point", "left").orderBy(F.desc("n"), "__first").limit(k)
+    code = F.lpad(F.hex("point"), 8, "0")
+    return top.select(F.decode(F.unhex(code), "UTF-32").alias("char"), F.concat(F.lit("U+"), F.lpad(F.regexp_replace(code, "^0+", ""), 4, "0")).alias("codepoint"), "n")
 
 
 def word_frequencies(df: DataFrame, text: str, pattern: str) -> DataFrame:
