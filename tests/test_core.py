@@ -3,11 +3,12 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import HashingTF, NGram
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
 from lexmill.functions import rows, shingles, text
-from lexmill.operators import bpe, clean, dedup, evaluate, mixture
+from lexmill.operators import bpe, clean, dedup, evaluate, lid, mixture, report
 from lexmill.plans import catalogue
 
 
@@ -201,3 +202,35 @@ def test_composing_characters_are_covered():
         elif len(parts) == 2 and not parts[0].startswith("<"):
             first[c] = chr(int(parts[1], 16))
     assert all(inside.match(c) for c in [*first.values(), *map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)])])
+
+
+def test_character_inventory_in_order_of_places(spark):
+    texts = [(3, "bbaacc\U0001f600"), (1, "xy\n"), (2, None), (4, ""), (0, "ccé\U0001f600")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    flat = [c for _, t in sorted(texts) for c in t or ""]
+    want = sorted(set(flat), key=lambda c: (-flat.count(c), flat.index(c)))
+    for k in (2, 4, 50):
+        got = report.characters(d, "text", ["doc_id"], k).collect()
+        assert [(r.char, r.n) for r in got] == [(c, flat.count(c)) for c in want[:k]]
+    assert {r.char: r.codepoint for r in got}["é"] == "U+00E9"
+    assert report.characters(d.where("text = ''"), "text", ["doc_id"]).count() == 0
+
+
+def test_naive_bayes_is_sparks_over_hashed_trigrams(spark):
+    texts = [(k, f"{a} {b} {k}" * (k % 4), lang) for k, (a, b, lang) in enumerate([("der Hund läuft", "Straße", "de"), ("the dog runs", "street", "en"), ("le chien \U0001f600", "rue", "fr")] * 8 + [("ab", "x", None), ("", "", "en")])] + [(99, None, "de")]
+    d = spark.createDataFrame(texts, "id long, text string, lang string")
+    n = lid.NaiveBayesIdentifier().fit(d, "text", "lang")
+    assert n.labels == ["de", "en", "fr"]
+    counts = {x: np.zeros(n.features) for x in n.labels}
+    seen = d.select("id", "lang", n._seen("text").alias("t"))
+    letters = NGram(n=3, inputCol="l", outputCol="g").transform(seen.withColumn("l", F.split("t", "")))
+    vectors = {r.id: (r.lang, r.x.toArray()) for r in HashingTF(numFeatures=n.features, inputCol="g", outputCol="x").transform(letters).collect()}
+    for lang, x in vectors.values():
+        if lang:
+            counts[lang] += x
+    theta = np.array([np.log(counts[x] + 1) - np.log(counts[x].sum() + n.features) for x in n.labels])
+    assert np.allclose(theta, n.theta, rtol=0, atol=1e-12)
+    for r in n.identify(d, "text").collect():
+        raw = n.pi + theta @ vectors[r.id][1]
+        p = np.exp(raw - raw.max())
+        assert abs(r.lid.score - (p / p.sum()).max()) < 1e-9 and r.lid.label == max(zip(raw, n.labels))[1]
